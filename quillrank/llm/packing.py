@@ -7,7 +7,7 @@ counts, so the work depends on the number of lengths, not of documents. Pieces o
 (length, bucket) pairs and a window in each pair; the rank finds the pattern, the sequence and the offset.
 
 Tokenization cuts a text at single spaces between other characters, where the pre-tokenizer always starts a token, and
-remembers the ids of such pieces; new pieces go to the tokenizer in batches. Ids are the tokenizer's own.
+remembers the ids of up to CACHE such pieces. Ids are the tokenizer's own (a test holds them against it).
 
 A null or empty text is the end id alone; ties fall by doc_id and start; repeated rows are packed each; an empty
 table gives no rows; other columns are ignored.
@@ -15,9 +15,12 @@ table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import heapq
+import os
 import re
 import zlib
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -27,10 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, rows_of, staged, table
 
-SIZE, END_ID, BUCKETS, CACHE = 2048, 1, 64, 300_000
+SIZE, END_ID, BUCKETS, CACHE = 2048, 1, 64, 200_000
 PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long"
-#: A space that may not start a token of its own: white space stands beside it or at an end of the text.
-_ODD = re.compile(r"\s\s|\A | \Z")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -40,38 +41,77 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _fast(path: str):
+    """A tiktoken encoding of the same vocabulary, where the file is plain byte-level BPE whose ids follow its merges; else None."""
+    import json
+
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = model["type"] == "BPE" and spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+    if not plain or model.get("dropout") or model.get("ignore_merges") or model.get("unk_token") or model.get("end_of_word_suffix") or model.get("continuing_subword_prefix"):
+        return None
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+    merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    vocab = model["vocab"]
+    if sorted(vocab[c] for c in byte if c in vocab) != list(range(256)) or [vocab.get(a + b) for a, b in merges] != list(range(256, 256 + len(merges))):
+        return None
+    ranks = {bytes(byte[c] for c in token): i for token, i in vocab.items() if i < 256 + len(merges)}
+    pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    return tiktoken.Encoding("same", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
 class Ids:
-    """Token ids of texts as little-endian uint32 bytes, by a tokenizer file."""
+    """Token ids of texts as little-endian uint32 bytes, by a tokenizer file.
+
+    Pieces of Latin letters go to a faster encoder of the same vocabulary and merges; all others to the tokenizer itself, one at a time and in one thread."""
 
     def __init__(self, path: str, cache: int = CACHE) -> None:
+        self.path, self.cache = path, cache
+        self.known: dict[str, bytes] = {}
+        self.fast = _fast(path)
+
+    @functools.cached_property
+    def tokenizer(self):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-        self.cache = cache
+        t = Tokenizer.from_file(self.path)
+        t.encode_special_tokens = True
+        return t
+
+    def _one(self, piece: str) -> bytes:
+        if self.fast is not None and (piece.isascii() or max(piece) < "\u0250"):
+            return array("I", self.fast.encode_ordinary(piece)).tobytes()
+        return array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+
+    def _text(self, text: str) -> bytes:
+        known, out = self.known, []
+        parts = text.split(" ")
+        parts[1:] = [" " + p for p in parts[1:]]
+        for i, p in enumerate(parts):
+            if (got := known.get(p)) is None:
+                body = p[1:] if i else p
+                if not body or body[0].isspace() or body[-1].isspace():
+                    return b"".join([self._one(p) for p in self._safe(text)])
+                if len(known) >= self.cache:
+                    known.clear()
+                got = self._one(p)
+                if len(p) <= 64:
+                    known[p] = got
+            out.append(got)
+        return b"".join(out)
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def _safe(self, text: str) -> list[str]:
+        """Pieces of a text where white space stands beside a space or at an end."""
+        first, *rest = _CUT.split(text)
+        return [first, *(" " + p for p in rest)]
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        out: list[bytes] = []
-        for at in range(0, len(texts), 64):
-            split = []
-            for text in texts[at : at + 64]:
-                parts = (_CUT.split(text) if _ODD.search(text) else text.split(" ")) if text else []
-                split.append([parts[0], *(" " + p for p in parts[1:])] if parts else parts)
-            known = self.known
-            new = list({p for parts in split for p in parts if p not in known})
-            if new:
-                if len(known) + len(new) > self.cache:
-                    known.clear()
-                    new = list({p for parts in split for p in parts})
-                for k in range(0, len(new), 4096):
-                    part = new[k : k + 4096]
-                    known.update(zip(part, self._encode(part), strict=True))
-            out += [b"".join([known[p] for p in parts]) for parts in split]
-        return out
+        return [self._text(t) if t else b"" for t in texts]
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
