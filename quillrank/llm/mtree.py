@@ -3,9 +3,9 @@
 An extra component sqrt(R^2 - |x|^2), R the largest norm in a tree, turns the largest inner product into the smallest Euclidean
 distance, a metric, for which an M-tree is bulk-loaded: routing entries are rows drawn evenly, each row goes to its nearest one,
 and a leaf page keeps its covering radius and, per entry, the distance to the routing entry. A search visits leaves by
-the best score their balls allow, skips the rest once the k-th score is better, and inside a leaf skips each entry whose
+the best score their balls allow, skips those where the k-th score is better, and inside a leaf skips each entry whose
 stored parent distance rules it out by the triangle inequality, before its score is computed. Scores are integers and
-bounds carry a margin, so results are exact.
+bounds carry a margin, so results are exact within int64 (scores beyond 2^62 are held there).
 
 All candidates are dealt to trees of about `tree_rows` rows by hash; queries form blocks of about `query_rows`, and a block meets the
 trees one after another in one task, keeping its k best and thereby sharper bounds. A task holds a block, a tree and its page list.
@@ -28,6 +28,13 @@ from pyspark.sql import functions as F
 from .common import staged, table
 
 K, SCALE, QUERY_MOD = 20, 64, 20
+#: Fill up what is found of fewer than k; below every score, above every id.
+LEAF = 64
+NONE, NONE_ID = -(2**62), 2**63 - 1
+
+
+def nothing(n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.full((n, k), NONE), np.full((n, k), NONE_ID)
 
 
 def quantize(vectors: list, scale: int = SCALE) -> np.ndarray:
@@ -45,7 +52,7 @@ def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     if top < 2.0**52:
         return (a @ b.T).astype(np.int64)
     out = np.array([[sum(int(x) * int(y) for x, y in zip(r, c, strict=True)) for c in b] for r in a], dtype=object).reshape(len(a), len(b))
-    return np.clip(out, -(2**63), 2**63 - 1).astype(np.int64)
+    return np.clip(out, 1 - 2**62, 2**62).astype(np.int64)
 
 
 class Tree:
@@ -57,7 +64,7 @@ class Tree:
         n = len(ids)
         norm = (self.x**2).sum(1)
         self.r2 = float(norm.max(initial=0.0))
-        leaves = max(1, round(n**0.5))
+        leaves = max(1, n // LEAF)
         self.pivot = np.unique(np.linspace(0, n - 1, leaves).astype(int)) if n else np.zeros(0, int)
         lift = np.sqrt(np.maximum(self.r2 - norm, 0))
         both = np.concatenate([self.x, lift[:, None]], 1)
@@ -73,9 +80,11 @@ class Tree:
             self.away.append(away[own])
             self.radius[k] = away[own].max(initial=0.0)
 
-    def search(self, q: np.ndarray, qid: np.ndarray, best: list[tuple[np.ndarray, np.ndarray]], k: int) -> int:
-        """Merge into best[i] = (scores, ids), sorted, what this tree holds for query i; returns the scores computed."""
-        if not len(self.pivot):
+    def search(self, q: np.ndarray, qid: np.ndarray, best: tuple[np.ndarray, np.ndarray], k: int) -> int:
+        """Merge into best = (scores, ids), rows sorted and filled up with NONE, what this tree holds for each query; returns the scores computed.
+
+        Leaves come in the order of the best score they allow any query that is still open to them."""
+        if not len(self.pivot) or not len(q):
             return 0
         width = max(q.shape[1], self.x.shape[1])
         q, x = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (q, self.x))
@@ -83,40 +92,35 @@ class Tree:
         reach = q2[:, None] + self.r2 - 2 * _dot(q, x[self.pivot]).astype(float)
         dist = np.sqrt(np.maximum(reach, 0))
         bound = self._score(q2[:, None], np.maximum(dist - self.radius[None, :], 0))
-        order = np.argsort(-bound, axis=1, kind="stable")
-        live, computed = np.arange(len(q)), 0
-        floor = np.array([s[-1] if len(s) == k else -np.inf for s, _ in best])
-        for turn in range(len(self.pivot)):
-            leaf = order[live, turn]
-            keep = bound[live, leaf] >= floor[live]
-            live, leaf = live[keep], leaf[keep]
-            if not len(live):
-                break
-            for node in np.unique(leaf):
-                at = live[leaf == node]
-                own, away = self.entries[node], self.away[node]
-                if not len(own):
-                    continue
-                # parent distances: an entry is at least |d(q, pivot) - d(entry, pivot)| away
-                need = np.sqrt(np.maximum(q2[at] + self.r2 - 2 * np.where(np.isfinite(floor[at]), floor[at], -1e300), 0)) + 1e-6
-                d = dist[at, node]
-                lo, hi = np.searchsorted(away, (d - need).min() * (1 - 1e-9) - 1e-6, "left"), np.searchsorted(away, (d + need).max() * (1 + 1e-9) + 1e-6, "right")
-                own = own[lo:hi]
-                if not len(own):
-                    continue
-                got = _dot(q[at], x[own])
-                computed += got.size
-                for row, i in enumerate(at):
-                    pick = got[row] >= floor[i]
-                    pick &= self.ids[own] != qid[i]
-                    if not pick.any():
-                        continue
-                    s = np.concatenate([best[i][0], got[row][pick]])
-                    v = np.concatenate([best[i][1], self.ids[own][pick]])
-                    first = np.lexsort((v, -s))[:k]
-                    best[i] = (s[first], v[first])
-                    if len(first) == k:
-                        floor[i] = best[i][0][-1]
+        floor = np.where(best[0][:, -1] == NONE, -np.inf, best[0][:, -1].astype(float))
+        computed = 0
+        for node in np.argsort(-bound.max(0), kind="stable"):
+            at = np.flatnonzero(bound[:, node] >= floor)
+            own, away = self.entries[node], self.away[node]
+            if not len(at) or not len(own):
+                continue
+            # parent distances: an entry is at least |d(q, pivot) - d(entry, pivot)| away
+            need = np.sqrt(np.maximum(q2[at] + self.r2 - 2 * np.maximum(floor[at], -1e300), 0)) + 1e-6
+            d = dist[at, node]
+            lo, hi = np.searchsorted(away, (d - need).min() * (1 - 1e-9) - 1e-6, "left"), np.searchsorted(away, (d + need).max() * (1 + 1e-9) + 1e-6, "right")
+            own = own[lo:hi]
+            if not len(own):
+                continue
+            got = _dot(q[at], x[own])
+            computed += got.size
+            pick = (got >= floor[at][:, None]) & (self.ids[own][None, :] != qid[at][:, None])
+            open_ = np.flatnonzero(pick.any(1))
+            if not len(open_):
+                continue
+            rows = at[open_]
+            use = np.flatnonzero(pick[open_].any(0))
+            new = np.where(pick[np.ix_(open_, use)], got[np.ix_(open_, use)], NONE)
+            s = np.concatenate([best[0][rows], new], 1)
+            v = np.concatenate([best[1][rows], np.where(new == NONE, NONE_ID, self.ids[own[use]][None, :])], 1)
+            first = np.lexsort((v, -s))[:, :k]
+            best[0][rows], best[1][rows] = np.take_along_axis(s, first, 1), np.take_along_axis(v, first, 1)
+            last = best[0][rows, -1]
+            floor[rows] = np.where(last == NONE, -np.inf, last.astype(float))
         return computed
 
     def _score(self, q2: np.ndarray, d: np.ndarray) -> np.ndarray:
@@ -134,8 +138,8 @@ def valid_vectors(df: DataFrame, vec_id: str = "vec_id", vector: str = "embeddin
 def top_k(spark: SparkSession, candidates: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE, tree_rows: int | None = None, query_rows: int | None = None) -> DataFrame:
     """candidates, queries: (vec_id, v). The k best candidates of each query but the query's own id: (query_id, rank, vec_id, score)."""
     n, nq = candidates.count(), queries.count()
-    tree_rows = tree_rows or min(16_384, max(512, n // 128))
-    query_rows = query_rows or min(8192, max(256, nq // 64))
+    tree_rows = tree_rows or min(16_384, max(1024, n // 128))
+    query_rows = query_rows or min(8192, max(512, nq // 64))
     trees, blocks = max(1, -(-n // tree_rows)), max(1, -(-nq // query_rows))
 
     def pack(name: str):
@@ -156,13 +160,12 @@ def top_k(spark: SparkSession, candidates: DataFrame, queries: DataFrame, k: int
     rows = asked.withColumn("tree", F.lit(-1)).unionByName(meets).repartition("block").sortWithinPartitions("block", "tree")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, q, qid, best = None, None, None, []
+        block, q, qid, best = None, None, None, None
 
         def answers() -> pa.RecordBatch:
-            rank = [r for s, _ in best for r in range(1, len(s) + 1)]
-            who = np.repeat(qid, [len(s) for s, _ in best])
-            cat = lambda j: np.concatenate([b[j] for b in best]) if best else np.zeros(0, np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), pa.array(rank, pa.int32()), pa.array(cat(1), pa.int64()), pa.array(cat(0), pa.int64())], names=["query_id", "rank", "vec_id", "score"])
+            there = best[0] != NONE
+            who, rank = np.nonzero(there)
+            return pa.RecordBatch.from_arrays([pa.array(qid[who], pa.int64()), pa.array(rank + 1, pa.int32()), pa.array(best[1][there], pa.int64()), pa.array(best[0][there], pa.int64())], names=["query_id", "rank", "vec_id", "score"])
 
         for batch in batches:
             for i in range(batch.num_rows):
@@ -173,7 +176,7 @@ def top_k(spark: SparkSession, candidates: DataFrame, queries: DataFrame, k: int
                     if block is not None:
                         yield answers()
                     block, q, qid = r["block"], x, ids
-                    best = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(ids)
+                    best = nothing(len(ids), k)
                 elif block == r["block"]:
                     Tree(ids, x).search(q, qid, best, k)
         if block is not None:

@@ -227,13 +227,13 @@ def test_tree_skips():
     centers = rng.normal(size=(16, 12)) * 3
     x = np.floor(64 * np.concatenate([c + 0.05 * rng.normal(size=(128, 12)) for c in centers]))
     tree = mtree.Tree(np.arange(len(x)), x)
-    best = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * 16
+    best = mtree.nothing(16, 20)
     computed = tree.search(x[::128], np.arange(len(x))[::128], best, 20)
     assert computed < 0.5 * 16 * len(x)
     for i, q in enumerate(range(0, len(x), 128)):
         s = (x @ x[q]).astype(int)
         want = sorted((-s[j], j) for j in range(len(x)) if j != q)[:20]
-        assert list(zip((-best[i][0]).tolist(), best[i][1].tolist(), strict=True)) == want
+        assert list(zip((-best[0][i]).tolist(), best[1][i].tolist(), strict=True)) == want
 
 
 def test_top_k_empty(spark):
