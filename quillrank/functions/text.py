@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import functools
+import unicodedata
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
@@ -43,7 +45,24 @@ def case_fold(c: Column) -> Column:
 
 def fold_diacritics(c: Column) -> Column:
     bare = F.regexp_replace(F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), c, F.lit(False)), r"\p{M}+", "")
-    return F.when(c.rlike(r"[^\x00-\x7F]"), bare).otherwise(c)
+    return F.when(c.rlike(r"[^\x00-\x7F]"), nfc(bare)).otherwise(c)
+
+
+def normalizer(policy: TextPolicy | None = None) -> Callable[[str], list[str]]:
+    """The same normalisation for a query's tokens, on the driver: none is left of a stopword."""
+    policy = policy or TextPolicy()
+
+    def one(token: str) -> list[str]:
+        t = unicodedata.normalize("NFC", token)
+        if policy.lowercase or policy.stem_english:
+            t = t.casefold()
+        if policy.fold_diacritics:
+            t = unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c)[0] != "M"))
+        if not t or t in policy.stopwords:
+            return []
+        return [stem(t) if policy.stem_english else t]
+
+    return one
 
 
 @functools.cache

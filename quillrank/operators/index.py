@@ -1,28 +1,43 @@
-"""A persistent inverted index: versioned Parquet tables under one folder, and a manifest that names the current version.
+"""A persistent inverted index: versioned Parquet tables under one folder, and numbered manifests of which the last one counts.
 
 Tables of a version: `postings` (term, key, tf, dl), written in `buckets` partitions by term hash and sorted by term, so that a query reads a
 few row groups; `terms` (term, df); `docs`, the source rows with dl. A reader keeps the version that it opened.
+
+Changes are appended to `log`, numbered. Under realtime and eventual consistency a query reads the version with the log applied, its statistics
+included: rows of changed keys are left out of the postings read, and the log's own rows are scored beside them. Under manual
+consistency the log waits for maintain(), which folds it into the next version.
+
+An index over several columns is one token stream, or, field-aware, a name space of its own for each column under the combined length.
 """
 
 from __future__ import annotations
 
 import json
+import math
+import time
 import uuid
+from collections import Counter
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.text import TextPolicy
-from ..plans.querylang import match, parse
+from ..functions.text import TextPolicy, normalize_tokens, normalizer, tokenize
+from ..plans.querylang import QueryError, match, parse
+from ..streaming import mutation
+from .fields import fused
 from .filters import predicate
 from .scoring import Bm25
 
-BUCKETS = 16
+BUCKETS, FOLD_AT = 16, 65_536
 CONSISTENCY = ("realtime", "eventual", "manual")
+#: Stands between a field's name and a term in field-aware postings.
+SEP = "\x1f"
 
 
 class Index:
-    """Build, refresh, query."""
+    """Build, query, change, maintain."""
 
     def __init__(self, spark: SparkSession, path: str, manifest: dict) -> None:
         self.spark, self.path, self.manifest = spark, path, manifest
@@ -36,100 +51,291 @@ class Index:
 
     @classmethod
     def _put(cls, spark: SparkSession, path: str, manifest: dict) -> None:
-        fs, tmp = cls._fs(spark, f"{path}/_manifest.{uuid.uuid4().hex}")
+        """Publish by a rename; a generation that is there already has been published by another writer."""
+        fs, tmp = cls._fs(spark, f"{path}/_manifests/_{uuid.uuid4().hex}")
         out = fs.create(tmp, True)
         out.write(bytearray(json.dumps(manifest).encode()))
         out.close()
-        _, final = cls._fs(spark, f"{path}/_manifest.json")
-        fs.delete(final, False)
-        if not fs.rename(tmp, final):
-            raise OSError("the manifest could not be published")
+        _, final = cls._fs(spark, f"{path}/_manifests/{manifest['generation']:012d}.json")
+        if fs.exists(final) or not fs.rename(tmp, final):
+            fs.delete(tmp, False)
+            raise OSError(f"generation {manifest['generation']} has been published already")
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> Index:
-        text = "".join(r.value for r in spark.read.text(f"{path}/_manifest.json").collect())
+        fs, p = cls._fs(spark, f"{path}/_manifests")
+        last = max(n for n in (x.getPath().getName() for x in fs.listStatus(p)) if n[0] != "_" and n.endswith(".json"))
+        text = spark.read.text(f"{path}/_manifests/{last}", wholetext=True).first().value
         return cls(spark, path, json.loads(text))
 
     @classmethod
-    def build(cls, spark: SparkSession, path: str, source: DataFrame, key: str, tokens: Column, *, params: Bm25 | None = None, policy: TextPolicy | None = None, consistency: str = "realtime", buckets: int = BUCKETS, generation: int = 1) -> Index:
+    def build(
+        cls,
+        spark: SparkSession,
+        path: str,
+        source: DataFrame,
+        key: str,
+        tokens: Column | str | list[str],
+        *,
+        params: Bm25 | None = None,
+        policy: TextPolicy | None = None,
+        consistency: str = "realtime",
+        field_aware: bool = False,
+        buckets: int = BUCKETS,
+        generation: int = 1,
+        folded: int = 0,
+    ) -> Index:
+        """tokens: text or token columns by name, or a Column over the source. A policy holds for text, and for tokens where one is given."""
         if consistency not in CONSISTENCY:
             raise ValueError(f"consistency is one of {CONSISTENCY}")
+        names = None if isinstance(tokens, Column) else [tokens] if isinstance(tokens, str) else list(tokens)
+        if field_aware and not names:
+            raise ValueError("a field-aware index is built over named columns")
+        p = params or Bm25()
         version = f"{path}/v={generation}-{uuid.uuid4().hex[:8]}"
-        docs = source.withColumn("_tokens", tokens).withColumn("_dl", F.size("_tokens").cast("double"))
-        docs.drop("_tokens").write.parquet(f"{version}/docs")
-        postings = docs.select(key, "_dl", F.explode("_tokens").alias("term")).groupBy("term", key, "_dl").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-        bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+        manifest = {"version": version, "generation": generation, "rebuilds": generation - 1, "folded": folded, "key": key, "columns": names, "field_aware": field_aware, "buckets": buckets, "consistency": consistency}
+        manifest |= {"params": {"method": p.method, "idf_method": p.idf_method, "k1": p.k1, "b": p.b, "delta": p.delta}, "policy": None if policy is None else vars(policy)}
+        index = cls(spark, path, manifest)
+        of = tokens if names is None else index._tokens(source)
+        source.withColumn("_dl", F.size(of).cast("double")).write.parquet(f"{version}/docs")
+        postings = index._postings(index.table("docs"), of).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
         # a hot term is spread over tasks: rows of a bucket are dealt by key, too
-        dealt = postings.withColumn("bucket", bucket).repartition("bucket", F.pmod(F.xxhash64(key), F.lit(8))).sortWithinPartitions("bucket", "term", key)
+        dealt = postings.repartition("bucket", F.pmod(F.xxhash64(key), F.lit(8))).sortWithinPartitions("bucket", "term", key)
         dealt.write.partitionBy("bucket").parquet(f"{version}/postings")
-        spark.read.parquet(f"{version}/postings").groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.parquet(f"{version}/terms")
-        total = spark.read.parquet(f"{version}/docs").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("_dl"), F.lit(0.0)).alias("len")).first()
-        p = params or Bm25()
-        manifest = {"version": version, "generation": generation, "rebuilds": generation - 1, "key": key, "docs": total.n, "total_length": total.len, "buckets": buckets, "consistency": consistency, "stale": False, "params": {"method": p.method, "idf_method": p.idf_method, "k1": p.k1, "b": p.b, "delta": p.delta}, "policy": vars(policy or TextPolicy())}
+        kind = T.StructType([*postings.drop("bucket").schema.fields, T.StructField("bucket", T.IntegerType())])
+        spark.read.schema(kind).parquet(f"{version}/postings").groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.parquet(f"{version}/terms")
+        total = index.table("docs").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("_dl"), F.lit(0.0)).alias("len")).first()
+        manifest |= {"docs": total.n, "total_length": total.len}
         cls._put(spark, path, manifest)
-        return cls(spark, path, manifest)
-
-    def refresh(self, source: DataFrame, tokens: Column) -> Index:
-        """Rebuild from the source as the next generation; readers of the old version are not disturbed."""
-        m = self.manifest
-        return Index.build(self.spark, self.path, source, m["key"], tokens, params=self.params, policy=TextPolicy(**{k: tuple(v) if isinstance(v, list) else v for k, v in m["policy"].items()}), consistency=m["consistency"], buckets=m["buckets"], generation=m["generation"] + 1)
+        return index
 
     def drop(self) -> None:
         fs, p = self._fs(self.spark, self.path)
         fs.delete(p, True)
 
+    # ---- what the manifest says
+
     @property
     def params(self) -> Bm25:
         return Bm25(**self.manifest["params"])
 
+    @property
+    def policy(self) -> TextPolicy | None:
+        p = self.manifest["policy"]
+        return None if p is None else TextPolicy(**{k: tuple(v) if isinstance(v, (list, tuple)) else v for k, v in p.items()})
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.manifest['version']}/{name}")
 
+    def _tokens(self, docs: DataFrame) -> Column:
+        """The token stream of docs by the index's own columns."""
+        if not self.manifest["columns"]:
+            raise ValueError("an index over an expression needs its tokens")
+        parts = []
+        for name in self.manifest["columns"]:
+            kind = docs.schema[name].dataType
+            if isinstance(kind, T.ArrayType):
+                words = F.col(name).cast("array<string>")
+                part = F.coalesce(words if self.policy is None else normalize_tokens(words, self.policy), F.array().cast("array<string>"))
+            else:
+                part = tokenize(F.col(name).cast("string"), self.policy)
+            parts.append(F.transform(part, lambda t, name=name: F.concat(F.lit(name + SEP), t)) if self.manifest["field_aware"] else part)
+        return fused(*parts)
+
+    def _normalize(self):
+        """What queries are normalised with: nothing where the index holds tokens as they came."""
+        text = self.policy is not None
+        if not text and self.manifest["columns"]:
+            kinds = self.table("docs").schema
+            text = any(not isinstance(kinds[c].dataType, T.ArrayType) for c in self.manifest["columns"])
+        return normalizer(self.policy) if text else None
+
+    def _postings(self, docs: DataFrame, tokens: Column) -> DataFrame:
+        key = self.manifest["key"]
+        return docs.select(key, "_dl", F.explode(tokens).alias("term")).groupBy("term", key, "_dl").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+
+    # ---- the version with the log applied
+
+    def _log(self) -> DataFrame | None:
+        fs, p = self._fs(self.spark, f"{self.path}/log")
+        if not fs.exists(p):
+            return None
+        fields = [f for f in self.table("docs").schema if f.name != "_dl"]
+        kind = T.StructType([*fields, T.StructField("_op", T.StringType()), T.StructField("_seq", T.LongType())])
+        log = self.spark.read.schema(kind).parquet(f"{self.path}/log").filter(F.col("_seq") > self.manifest["folded"])
+        return None if log.isEmpty() else log
+
+    def _view(self):
+        """(docs, changed keys or None, new rows or None, n, total length) that a query sees."""
+        m = self.manifest
+        docs = self.table("docs")
+        log = None if m["consistency"] == "manual" else self._log()
+        if log is None:
+            return docs, None, None, float(m["docs"]), float(m["total_length"])
+        last = mutation.latest(log, m["key"], "_seq")
+        keys = last.select(m["key"])
+        new = last.filter("_op = 'upsert'").drop("_op", "_seq")
+        new = new.withColumn("_dl", F.size(self._tokens(new)).cast("double")).select(*docs.columns)
+        count = lambda df: df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("_dl"), F.lit(0.0)).alias("len")).first()
+        gone, came = count(docs.join(keys, m["key"], "left_semi")), count(new)
+        return docs.join(keys, m["key"], "left_anti").unionByName(new), keys, new, float(m["docs"] - gone.n + came.n), m["total_length"] - gone.len + came.len
+
     def _bucket(self, terms: list[str]) -> list[int]:
         rows = self.spark.createDataFrame([(t,) for t in terms], "t string").select(F.pmod(F.xxhash64("t"), F.lit(self.manifest["buckets"])).alias("b")).distinct().collect()
         return [r.b for r in rows]
 
-    def scores(self, terms: dict[str, float]) -> DataFrame:
-        """(key, score) of documents that hold a term, from the postings of these terms alone."""
-        m, p, names = self.manifest, self.params, list(terms)
-        if not names:
-            return self.table("docs").select(m["key"], F.lit(0.0).alias("score")).limit(0)
-        n, avgdl = F.lit(float(m["docs"])), F.lit(m["total_length"] / m["docs"] if m["docs"] else 0.0)
-        weight = F.element_at(F.create_map(*[F.lit(x) for t in terms.items() for x in t]), F.col("term"))
-        hits = self.table("postings").filter(F.col("bucket").isin(self._bucket(names)) & F.col("term").isin(names))
-        df = self.table("terms").filter(F.col("term").isin(names))  # a row per query term
-        impact = p.idf(F.col("df").cast("double"), n) * weight * (p.tfc(F.col("tf").cast("double"), F.col("_dl"), avgdl) - p.missing())
-        return hits.join(F.broadcast(df), "term").groupBy(m["key"]).agg(F.sum(impact).alias("score"))
-
-    def query(self, text: str, k: int = 10, tokens: Column | None = None, filters: dict | None = None, allowed: DataFrame | None = None, digits: int = 6, normalize=None) -> DataFrame:
-        """The k best source rows; filters and allowed keys restrict what is ranked, statistics stay those of the whole index. `tokens`, over the source's columns, is needed by queries that test phrases or truth."""
+    def _begin(self, prefixes: list[str], new: DataFrame | None) -> list[str]:
+        """Terms of the vocabulary that a prefix begins; prefixes are meant to be selective."""
+        begins = lambda c: reduce(Column.__or__, [c.startswith(p) for p in prefixes])
+        found = self.table("terms").select("term").filter(begins(F.col("term")))
+        if new is not None:
+            found = found.union(new.select(F.explode(self._tokens(new)).alias("term")).filter(begins(F.col("term"))))
+        return [r.term for r in found.distinct().collect()]
+
+    # ---- queries
+
+    def query(self, text: str, k: int = 10, tokens: Column | None = None, filters: dict | str | None = None, allowed: DataFrame | None = None, mask: Column | None = None, digits: int = 6, normalize=None) -> DataFrame:
+        """The k best source rows with `score` by the raw query language; ties go to the smaller key.
+
+        filters and allowed keys restrict what is ranked, statistics stay those of the whole index. mask: a factor for each row. tokens: of an
+        index over an expression, for queries that test truth."""
         if k is None or k < 1:
             raise ValueError("k is positive")
-        m, q = self.manifest, parse(text, normalize)
-        terms: dict[str, float] = {}
-        for t in q.terms:
-            terms[t] = terms.get(t, 0.0) + 1.0
-        for prefix in q.prefixes:
-            for r in self.table("terms").filter(F.col("term").startswith(prefix)).select("term").collect():
-                terms[r.term] = terms.get(r.term, 0.0) + 1.0
-        docs = self.table("docs")
+        q = parse(text, normalize or self._normalize())
+        view = self._view()
+        words = Counter(q.terms)
+        if self.manifest["field_aware"]:
+            if not q.simple or q.prefixes or q.phrases:
+                raise QueryError("a query over fields takes plain terms only")
+            words = {c + SEP + t: float(n) for t, n in words.items() for c in self.manifest["columns"]}
+        if q.prefixes:
+            found = self._begin(q.prefixes, view[2])
+            for p in q.prefixes:
+                words.update(w for w in found if w.startswith(p))
+        docs = view[0]
+        if not q.simple:
+            docs = docs.filter(match(q.root, tokens if tokens is not None else self._tokens(docs)))
+        return self._ranked(docs, dict(words), view, k, filters, allowed, mask, digits)
+
+    def query_tokens(self, terms: list[str], k: int = 10, filters: dict | str | None = None, allowed: DataFrame | None = None, mask: Column | None = None, digits: int = 6) -> DataFrame:
+        """The k best rows for tokens as they are, repeats counted; rows without a match fill up at their base score."""
+        if k is None or k < 1:
+            raise ValueError("k is positive")
+        view = self._view()
+        return self._ranked(view[0], dict(Counter(map(str, terms))), view, k, filters, allowed, mask, digits)
+
+    query_ids = query_tokens
+
+    def query_fields(self, text: str, weights: dict[str, float | None], k: int = 10, filters: dict | str | None = None, digits: int = 6) -> DataFrame:
+        """The k best rows of a field-aware index, terms weighted by the field they stand in; a null weight is 1."""
+        if k is None or k < 1:
+            raise ValueError("k is positive")
+        if not self.manifest["field_aware"] or not weights or set(weights) - set(self.manifest["columns"]):
+            raise ValueError("weights are by the fields of a field-aware index")
+        weights = {c: 1.0 if w is None else float(w) for c, w in weights.items()}
+        if not all(math.isfinite(w) and w >= 0 for w in weights.values()):
+            raise ValueError("field weights must be finite and not negative")
+        q = parse(text, self._normalize())
+        if not q.simple or q.prefixes or q.phrases:
+            raise QueryError("a query over fields takes plain terms only")
+        view = self._view()
+        terms = {c + SEP + t: n * w for t, n in Counter(q.terms).items() for c, w in weights.items()}
+        return self._ranked(view[0], terms, view, k, filters, None, None, digits)
+
+    def _ranked(self, docs: DataFrame, terms: dict[str, float], view: tuple, k: int, filters, allowed, mask, digits: int) -> DataFrame:
+        key = self.manifest["key"]
         if filters:
             docs = docs.filter(predicate(docs, filters))
         if allowed is not None:
-            docs = docs.join(allowed, m["key"], "left_semi")
-        if not q.simple:
-            docs = docs.filter(match(q.root, tokens))
-        base = sum(w for w in terms.values()) and self.params.missing()
-        if base:
-            df = {r.term: r.df for r in self.table("terms").filter(F.col("term").isin(list(terms))).collect()}
-            one = self.spark.range(1).select(*[(self.params.idf(F.lit(float(d)), F.lit(float(m["docs"]))) * terms[t] * base).alias(f"x{i}") for i, (t, d) in enumerate(df.items())]).first()
-            base = sum(one) if one else 0.0
-        scored = docs.join(self.scores(terms), m["key"], "left").withColumn("score", F.round(F.coalesce("score", F.lit(0.0)) + float(base or 0.0), digits))
-        return scored.drop("_dl").orderBy(F.col("score").desc(), m["key"]).limit(k)
+            docs = docs.join(allowed.select(key), key, "left_semi")
+        gain, base = self._scores(terms, view)
+        score = F.coalesce("_gain", F.lit(0.0))
+        scored = docs.join(gain, key, "left").withColumn("score", F.round((score if mask is None else score * mask) + float(base), digits))
+        return scored.drop("_dl", "_gain").orderBy(F.col("score").desc(), key).limit(k)
 
-    def details(self) -> DataFrame:
+    def _scores(self, terms: dict[str, float], view: tuple) -> tuple[DataFrame, float]:
+        """((key, _gain) of documents that hold a term, the score of those that hold none), from the postings of these terms alone."""
+        m, p, names = self.manifest, self.params, list(terms)
+        _, changed, new, n, total = view
+        if not names:
+            return self.table("docs").select(m["key"], F.lit(0.0).alias("_gain")).limit(0), 0.0
+        count, avgdl = F.lit(n), F.lit(total / n if n else 0.0)
+        weight = F.element_at(F.create_map(*[F.lit(x) for t, w in terms.items() for x in (t, float(w))]), F.col("term"))
+        hits = self.table("postings").filter(F.col("bucket").isin(self._bucket(names)) & F.col("term").isin(names)).drop("bucket")
+        if changed is None:
+            df = self.table("terms").filter(F.col("term").isin(names))  # a row per query term
+        else:
+            hits = hits.join(changed, m["key"], "left_anti").unionByName(self._postings(new, self._tokens(new)).filter(F.col("term").isin(names)))
+            df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        idf = df.select("term", (p.idf(F.col("df").cast("double"), count) * weight).alias("_idf"))
+        base = 0.0
+        if p.missing():
+            base = (idf.agg(F.sum("_idf")).first()[0] or 0.0) * p.missing()
+        gain = F.col("_idf") * (p.tfc(F.col("tf").cast("double"), F.col("_dl"), avgdl) - p.missing())
+        return hits.join(F.broadcast(idf), "term").groupBy(m["key"]).agg(F.sum(gain).alias("_gain")), base
+
+    # ---- changes and maintenance
+
+    def upsert(self, rows: DataFrame) -> None:
+        """Append new versions of rows; all of a call have one number, and a later call's count."""
+        self._append(rows, "upsert")
+
+    def delete(self, keys: DataFrame) -> None:
+        self._append(keys.select(self.manifest["key"]), "delete")
+
+    def _append(self, rows: DataFrame, op: str) -> None:
+        if not self.manifest["columns"]:
+            raise ValueError("an index over an expression is refreshed from its source")
+        fields = [f for f in self.table("docs").schema if f.name != "_dl"]
+        cols = [(F.col(f"`{f.name}`") if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields]
+        rows.select(*cols, F.lit(op).alias("_op"), F.lit(time.time_ns()).cast("long").alias("_seq")).write.mode("append").parquet(f"{self.path}/log")
+
+    def pending(self) -> int:
+        log = self._log()
+        return 0 if log is None else log.count()
+
+    def maintain(self, least: int = 1) -> dict:
+        """Fold the log into the next version if it holds `least` changes; readers of the old version are not disturbed."""
+        log = self._log()
+        seen = None if log is None else log.agg(F.count(F.lit(1)).alias("n"), F.max("_seq").alias("to")).first()
+        if seen is None or seen.n < least:
+            return {"acted": False, "reason": "no_pending", "generation": self.manifest["generation"]}
+        now = mutation.live(self.table("docs").drop("_dl"), log.filter(F.col("_seq") <= seen.to).withColumnsRenamed({"_op": "op", "_seq": "seq"}), self.manifest["key"])
+        self.manifest = self._next(now, self.manifest["columns"], seen.to).manifest
+        return {"acted": True, "reason": "folded", "generation": self.manifest["generation"]}
+
+    def maintain_due(self) -> dict:
+        return self.maintain(FOLD_AT)
+
+    def refresh(self, source: DataFrame, tokens: Column | str | list[str] | None = None) -> Index:
+        """Rebuild from the source as the next version; changes in the log up to now are taken as part of the source."""
+        return self._next(source, tokens if tokens is not None else self.manifest["columns"], time.time_ns())
+
+    def _next(self, source: DataFrame, tokens, folded: int) -> Index:
         m = self.manifest
-        return self.spark.createDataFrame([(self.path, m["key"], m["docs"], m["generation"], m["rebuilds"], m["consistency"], m["stale"])], "index_name string, key string, docs long, generation int, rebuilds int, consistency string, stale boolean")
+        return Index.build(self.spark, self.path, source, m["key"], tokens, params=self.params, policy=self.policy, consistency=m["consistency"], field_aware=m["field_aware"], buckets=m["buckets"], generation=m["generation"] + 1, folded=folded)
+
+    def reclaim(self) -> int:
+        """Delete the versions that this one has replaced, once no reader needs them; how many there were."""
+        fs, p = self._fs(self.spark, self.path)
+        mine = self.manifest["version"].rsplit("/", 1)[1]
+        old = [x.getPath() for x in fs.listStatus(p) if x.getPath().getName().startswith("v=") and x.getPath().getName() != mine and int(x.getPath().getName()[2:].split("-")[0]) < self.manifest["generation"]]
+        for x in old:
+            fs.delete(x, True)
+        return len(old)
+
+    def status(self) -> dict:
+        """The manifest, the changes that wait, and whether queries lag behind them."""
+        waiting = self.pending()
+        return dict(self.manifest) | {"pending": waiting, "stale": waiting > 0 and self.manifest["consistency"] == "manual"}
+
+    def details(self) -> DataFrame:
+        m = self.status()
+        return self.spark.createDataFrame([(self.path, m["key"], m["docs"], m["generation"], m["rebuilds"], m["pending"], m["consistency"], m["stale"])], "index_name string, key string, docs long, generation int, rebuilds int, pending long, consistency string, stale boolean")
+
+    def preload(self) -> DataFrame:
+        """Cache the vocabulary; results never depend on it."""
+        return self.table("terms").persist()
 
 
 def policy_recommend(profile: str, semantic: bool = False) -> tuple[str, str]:

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 
 def latest(log: DataFrame, key: str, seq: str = "seq") -> DataFrame:
-    """The last change of each key; a hot key is reduced before the shuffle."""
+    """The last change of each key; a hot key is reduced before the shuffle. Of changes with the same number one counts, the same in every run."""
     rest = [c for c in log.columns if c != key]
-    return log.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(seq)).alias("_last")).select(key, "_last.*")
+    return log.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(F.col(seq), F.xxhash64(*rest))).alias("_last")).select(key, "_last.*")
 
 
 def live(base: DataFrame, log: DataFrame, key: str, consistency: str = "realtime") -> DataFrame:
