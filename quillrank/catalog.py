@@ -131,7 +131,7 @@ def idx_query(spark, sf):
     return built(spark, sf).query(" ".join(TERMS), K).select("doc_id", "score")
 
 
-@query("idx_refresh")
+@query("idx_refresh", _top(_scored({"the": 1, "of": 1})))
 def idx_refresh(spark, sf):
     docs = documents(spark, sf)
     index = built(spark, sf, docs.filter("doc_id % 2 = 0"))
@@ -370,6 +370,19 @@ for _label, _w in {"bm25_field_equal": (1.0, 1.0), "bm25_field_weighted": (3.0,
     query(_label, _fields_sql(*_w))(_by_field)
 
 
+@query("idx_field_weighted", _fields_sql(3.0, 0.5))
+def idx_field_weighted(spark, sf):
+    docs = table(spark, sf, "part").select("p_partkey", "p_name", "p_type")
+    index = Index.build(spark, folder(spark), docs, "p_partkey", ["p_name", "p_type"], field_aware=True)
+    return index.query_fields(" ".join(PART_TERMS), {"p_name": 3.0, "p_type": 0.5}, K).select("p_partkey", "score")
+
+
+@query("idx_fused", _top(_scored(PART_TERMS, docs=PARTS, key="p_partkey"), key="p_partkey"))
+def idx_fused(spark, sf):
+    docs = table(spark, sf, "part").select("p_partkey", "p_name", "p_type")
+    return Index.build(spark, folder(spark), docs, "p_partkey", ["p_name", "p_type"]).query(" ".join(PART_TERMS), K).select("p_partkey", "score")
+
+
 # ---- filters
 
 
@@ -634,5 +647,39 @@ def delta_stream(spark, sf):
     return mutation.latest(spark.read.parquet(f"{at}/log"), "doc_id").select("doc_id", "op", "text")
 
 
+def changed_index(spark, sf) -> Index:
+    """An index over documents to whose log the last changes are appended."""
+    docs = documents(spark, sf).select("doc_id", "tokens")
+    index = Index.build(spark, folder(spark), docs, "doc_id", "tokens")
+    last = delta_upsert(spark, sf)
+    index.upsert(last.filter("op = 'upsert'").select("doc_id", tx.simple_tokens(F.col("text")).alias("tokens")))
+    index.delete(last.filter("op = 'delete'"))
+    return index
+
+
+@query("idx_realtime", ORACLES["delta_realtime"])
+def idx_realtime(spark, sf):
+    return changed_index(spark, sf).query_tokens(list(A), K).select("doc_id", "score")
+
+
+@query("idx_maintained", ORACLES["delta_realtime"])
+def idx_maintained(spark, sf):
+    index = changed_index(spark, sf)
+    index.maintain()
+    index.reclaim()
+    return index.query_tokens(list(A), K).select("doc_id", "score")
+
+
+@query("idx_stream", ORACLES["delta_realtime"])
+def idx_stream(spark, sf):
+    """Changes stream into the log of an index, which answers with them."""
+    at = folder(spark)
+    index = Index.build(spark, f"{at}/index", documents(spark, sf).select("doc_id", "tokens"), "doc_id", "tokens")
+    delta_upsert(spark, sf).select("doc_id", "op", tx.simple_tokens(F.col("text")).alias("tokens")).write.parquet(f"{at}/in")
+    stream = spark.readStream.schema(spark.read.parquet(f"{at}/in").schema).parquet(f"{at}/in")
+    mutation.follow(stream, index, f"{at}/commits").awaitTermination()
+    return index.query_tokens(list(A), K).select("doc_id", "score")
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     return QUERIES["bm25_lucene"](spark, sf)

@@ -36,6 +36,10 @@ CONSISTENCY = ("realtime", "eventual", "manual")
 SEP = "\x1f"
 
 
+def _prefixed(tokens: Column, field: str) -> Column:
+    return F.transform(tokens, lambda t: F.concat(F.lit(field + SEP), t))
+
+
 class Index:
     """Build, query, change, maintain."""
 
@@ -139,7 +143,7 @@ class Index:
                 part = F.coalesce(words if self.policy is None else normalize_tokens(words, self.policy), F.array().cast("array<string>"))
             else:
                 part = tokenize(F.col(name).cast("string"), self.policy)
-            parts.append(F.transform(part, lambda t, name=name: F.concat(F.lit(name + SEP), t)) if self.manifest["field_aware"] else part)
+            parts.append(_prefixed(part, name) if self.manifest["field_aware"] else part)
         return fused(*parts)
 
     def _normalize(self):

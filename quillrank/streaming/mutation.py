@@ -25,3 +25,15 @@ def live(base: DataFrame, log: DataFrame, key: str, consistency: str = "realtime
 def ingest(stream: DataFrame, to: str, checkpoint: str):
     """Append a stream of changes to the log's folder; exactly once, as the file sink keeps its own commit log."""
     return stream.writeStream.format("parquet").option("path", to).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
+def follow(stream: DataFrame, index, checkpoint: str, op: str = "op"):
+    """Append a stream of changes (the index's columns, and op: upsert or delete) to the log of an index, one number for each batch.
+
+    A batch that is run again appends its rows again under a later number, which changes nothing: the last change of a key counts."""
+
+    def append(batch: DataFrame, _: int) -> None:
+        index.upsert(batch.filter(F.col(op) == "upsert"))
+        index.delete(batch.filter(F.col(op) == "delete"))
+
+    return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
