@@ -3,14 +3,16 @@
 Pages of a host are merged into one tree of presentation nodes: the path of tags, classes and ids that a text block stands in.
 For each presentation node, the contents seen under it give an entropy, normalised by the number of pages that have it; a
 node that most of the host's pages share with the same contents has importance near 0, and its branch is removed
-from every page of the host. Statistics are sums over (host, node, content) and so never gather a host in one task.
+from every page of the host. Pages of a host with equal texts count once, so a group of copies says nothing about what its host
+repeats; and a node that holds most of the text of the pages it stands on is never removed, so near copies keep their text too.
+Statistics are sums over (host, node, content) and so never gather a host in one task.
 
 What the markup itself declares is decided first: scripts, styles, menus, headers, footers, sidebars, forms, adverts, notices and
 reader comments go, by element, role, and class or id words; and text inside an article or main element is the
 article's and is not open to removal by statistics, so copies of an article on one host stay. Statistics decide on the pages without such an element.
 
-A null or empty page gives an empty text; a page whose url has no host belongs to the host ''; ties and repeated rows
-count as pages of their own; an empty table gives no rows; other columns are ignored.
+A null or empty page gives an empty text; a page whose url has no host belongs to the host ''; repeated rows each
+give their text; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -111,24 +113,31 @@ def style_tree(spark: SparkSession, pages: DataFrame, min_pages: int = MIN_PAGES
 
     def make():
         def run(batch: pa.RecordBatch) -> dict:
-            hosts, nodes, contents = [], [], []
+            hosts, wholes, nodes, contents, chars, totals = [], [], [], [], [], []
             for host, page in zip(rows_of(batch, "host"), rows_of(batch, "html"), strict=True):
                 found = blocks(page)
+                whole = xxhash.xxh64_intdigest("\n".join(f"{node} {text}" for text, node, _ in found)) >> 1
                 if any(m for _, _, m in found):
                     found = []
+                total = sum(len(text) for text, _, _ in found)
                 own: dict[int, list[str]] = {}
                 for text, node, _ in found:
                     own.setdefault(node, []).append(text)
                 for node, texts in [(0, []), *own.items()]:  # node 0 counts the host's pages
                     hosts.append(host)
+                    wholes.append(whole)
                     nodes.append(node)
                     contents.append(xxhash.xxh64_intdigest("\n".join(texts)) >> 1)
-            return {"host": hosts, "node": nodes, "content": contents}
+                    chars.append(sum(map(len, texts)))
+                    totals.append(total)
+            return {"host": hosts, "whole": wholes, "node": nodes, "content": contents, "chars": chars, "total": totals}
 
         return run
 
-    seen = map_batches(pages.select(host_of().alias("host"), "html"), make, "host string, node long, content long").groupBy("host", "node", "content").agg(F.count(F.lit(1)).alias("n"))
-    nodes = seen.groupBy("host", "node").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log2("n")).alias("s"))
+    found = map_batches(pages.select(host_of().alias("host"), "html"), make, "host string, whole long, node long, content long, chars long, total long")
+    once = found.distinct()  # copies agree in every column
+    seen = once.groupBy("host", "node", "content").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"), F.sum("total").alias("total"))
+    nodes = seen.groupBy("host", "node").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log2("n")).alias("s"), F.sum("chars").alias("chars"), F.sum("total").alias("total"))
     nodes = staged(spark, nodes, "sst-nodes")
     per_host = nodes.filter("node = 0").select("host", F.col("pages").alias("host_pages"))
     # entropy of the contents, normalised by that of as many different pages
@@ -136,6 +145,7 @@ def style_tree(spark: SparkSession, pages: DataFrame, min_pages: int = MIN_PAGES
     low = (
         nodes.filter((F.col("node") != 0) & (F.col("pages") >= min_pages))
         .join(per_host, "host")
+        .filter(2 * F.col("chars") <= F.col("total"))
         .filter((F.col("pages") >= min_share * F.col("host_pages")) & (entropy / F.log2("pages") < importance))
     )
     return staged(spark, low.groupBy("host").agg(F.sort_array(F.collect_set("node")).alias("low")), "sst-low")

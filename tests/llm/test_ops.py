@@ -267,6 +267,19 @@ def test_extract(spark):
     assert extraction.extract(spark, pages_of(spark).limit(0)).count() == 0
 
 
+def test_extract_keeps_copies_without_article(spark):
+    page = "<html><body><div class='x'>Our site is great</div><div id='b'><p>{}</p></div><div class='y'>{}</div></body></html>"
+    body = "The one text that all of these pages hold, a good deal longer than what stands around it."
+    got = [(i, "http://same.example/a", page.format(body, "All rights")) for i in range(10)]
+    got += [(100 + i, "http://near.example/a", page.format(body, f"Printed on day {i}")) for i in range(10)]
+    got += [(200 + i, "http://mixed.example/a", page.format(body, "All rights")) for i in range(30)]
+    got += [(300 + i, "http://mixed.example/a", page.format(f"Page {i} says " + "word " * (9 + i), "All rights")) for i in range(10)]
+    text = {r.page_id: r.text for r in extraction.extract(spark, spark.createDataFrame(got, "page_id long, url string, html string")).collect()}
+    assert all(body in text[i] for i in [*range(10), *range(100, 110)])
+    assert all(text[200 + i] == body for i in range(30))  # what the host repeats goes, its copies stay
+    assert all(text[300 + i] == f"Page {i} says " + " ".join(["word"] * (9 + i)) for i in range(10))
+
+
 # ---- media
 
 
