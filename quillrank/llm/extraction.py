@@ -10,6 +10,8 @@ Statistics are sums over (host, node, content) and so never gather a host in one
 What the markup itself declares is decided first: scripts, styles, menus, headers, footers, sidebars, forms, adverts, notices and
 reader comments go, by element, role, and class or id words; and text inside an article or main element is the
 article's and is not open to removal by statistics, so copies of an article on one host stay. Statistics decide on the pages without such an element.
+Class and id words and form elements say nothing against an element that holds the page's article or most of its text; inside an
+article, words that prose is classed by too (more, side, legal) count only where most of the element's text is links.
 
 A null or empty page gives an empty text; a page whose url has no host belongs to the host ''; repeated rows each
 give their text; an empty table gives no rows; other columns are ignored.
@@ -18,6 +20,7 @@ give their text; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,22 +40,116 @@ _BOILER = re.compile(
 )
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar"}
 _MAIN_ROLES = {"main", "article"}
+_FORMS = {"form", "fieldset", "label"}
+#: Of the words above, those by which prose is not classed.
+_CLEAR = re.compile(
+    _WORD % "ads?|advert(?:s|isements?|ising)?|adsense|adslot|adbox|sponsor(?:ed|s)?|promo(?:tion|s)?|cookies?|consent|gdpr|popup|newsletter|subscri(?:be|ption)|signup|paywall|nav(?:bar|igation)?|menus?|breadcrumbs?|pagination|pager|topbar|toolbar|footer|sidebar|related|recommend(?:ed|ations?)?|comments?|commentlist|disqus|respond|login|hidden",
+    re.I,
+)
+_READERS = re.compile(_WORD % "comments?|commentlist|disqus|respond", re.I)
+#: Words of states, which tell what stands elsewhere; attribute values; the attribute hidden.
+_STATE = re.compile(r"(?<!\S)(?:with|has|without)[-_]\S+", re.I)
+_VALUE = re.compile(r"=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+)")
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)", re.I)
+
+
+@lru_cache(maxsize=8192)
+def _kind(name: str, attrs: str) -> tuple[bool, bool, bool, bool, bool]:
+    """What one element declares: (goes in any case, goes by form or words, by a word that prose is not classed by, reader comments, is an article or main)."""
+    node = Node(name, attrs, None)
+    role = node.get("role").lower() if attrs else ""
+    is_main = name in ("article", "main") or role in _MAIN_ROLES
+    if name in _DROP - _FORMS:
+        return True, False, False, False, is_main
+    form = name in _FORMS
+    if not attrs or name in ("html", "body"):
+        return False, form, form, False, is_main
+    form = form or role == "form"
+    sure = role in _ROLES - {"form"} or node.get("aria-hidden").lower() == "true" or bool(_HIDDEN.search(_VALUE.sub(" ", attrs)))
+    if sure or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs):
+        return True, False, False, False, is_main
+    kind = f"{node.get('class')} {node.get('id')} {node.get('itemprop') if 'comment' in attrs else ''}"
+    kind = _STATE.sub(" ", kind)
+    if not kind.strip():
+        return False, form, form, False, is_main
+    named = name in ("article", "section", "main") and bool(re.search(r"comment|repl(?:y|ies)|advert|sponsor|promo|related", kind, re.I))
+    words = named or name not in ("article", "main") and bool(_BOILER.search(kind))
+    return False, form or words, form or named or words and bool(_CLEAR.search(kind)), words and bool(_READERS.search(kind)), is_main
 
 
-def _boilerplate(node: Node, in_main: bool) -> bool:
-    name = node.name
-    if name in _DROP:
-        return True
-    if name == "header" and not in_main:
-        return True
-    if not node.attrs or name in ("html", "body"):
-        return False
-    if node.get("role").lower() in _ROLES or node.get("aria-hidden").lower() == "true" or re.search(r"(?:^|\s)hidden(?:\s|=|$)", node.attrs):
-        return True
-    if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", node.attrs):
-        return True
-    kind = f"{node.get('class')} {node.get('id')} {node.get('itemprop') if 'comment' in node.attrs else ''}"
-    return bool(kind.strip()) and bool(_BOILER.search(kind)) and name not in ("article", "main") or name in ("article", "section", "main") and bool(re.search(r"comment|repl(?:y|ies)|advert|sponsor|promo|related", kind, re.I))
+def _dropped(events: list[tuple[str, Node | None, str]]) -> set[int]:
+    """The ids of the nodes that go by what they declare; what they hold goes with them."""
+    nodes: list[int] = []
+    kinds: list[tuple[bool, bool, bool, bool, bool]] = []
+    headers: list[bool] = []
+    up: list[int] = []  # the parent's place
+    end: list[int] = []  # elements from k to before end[k] stand in k
+    text: list[int] = []
+    links: list[int] = []
+    own: list[int] = []  # text outside of inner articles
+    sure: list[bool] = []
+    open_: list[int] = []
+    total = mains = soft = 0
+    for kind, node, words in events:
+        if kind == "text":
+            n = len(words.strip())
+            if open_:
+                text[open_[-1]] += n
+                own[open_[-1]] += n
+            else:
+                total += n
+        elif kind == "open":
+            found = _kind(node.name, node.attrs)
+            header = node.name == "header" and not mains
+            above = open_[-1] if open_ else -1
+            open_.append(len(nodes))
+            nodes.append(id(node))
+            kinds.append(found)
+            headers.append(header)
+            up.append(above)
+            end.append(0)
+            text.append(0)
+            links.append(0)
+            own.append(0)
+            sure.append(found[0] or header or above >= 0 and sure[above])
+            mains += found[4]
+            soft += found[1]
+        elif kind == "close":
+            k = open_.pop()
+            end[k] = len(nodes)
+            mains -= kinds[k][4]
+            if node.name in ("a", "button"):
+                links[k] = text[k]
+            if kinds[k][0] or headers[k]:
+                continue
+            if (above := up[k]) >= 0:
+                text[above] += text[k]
+                links[above] += links[k]
+                own[above] += 0 if kinds[k][4] else own[k]
+            else:
+                total += text[k]
+    if not soft:
+        return {nodes[k] for k, found in enumerate(kinds) if found[0] or headers[k]}
+    articles = [k for k, found in enumerate(kinds) if found[4] and not sure[k] and (not found[1] or 2 * text[k] > total)]
+    first = max(articles, key=own.__getitem__, default=-1)
+    gone, within, out = [], [], set()
+    for k, (always, by_words, clear, readers, is_main) in enumerate(kinds):
+        inside = up[k] >= 0 and within[up[k]]
+        drop = always or headers[k]
+        if by_words and not drop:
+            if inside and readers:
+                drop = True
+            elif 2 * text[k] > total or k <= first < end[k] or not clear and any(k <= x < end[k] for x in articles):
+                drop = False
+            elif inside and not clear:
+                drop = 2 * links[k] > text[k]
+            else:
+                drop = True
+        if drop:
+            out.add(nodes[k])
+        gone.append(drop or up[k] >= 0 and gone[up[k]])
+        within.append(not gone[k] and (is_main or inside))
+    return out
 
 
 def blocks(page: str | None) -> list[tuple[str, int, bool]]:
@@ -61,6 +158,8 @@ def blocks(page: str | None) -> list[tuple[str, int, bool]]:
     parts: list[str] = []
     dropped = 0
     main = 0
+    events = list(scan(page or ""))
+    goes = _dropped(events)
     state: dict[int, tuple[bool, bool]] = {}
     path: list[str] = []
 
@@ -71,7 +170,7 @@ def blocks(page: str | None) -> list[tuple[str, int, bool]]:
             if text:
                 out.append((text, xxhash.xxh64_intdigest("/".join(path)) >> 1, main > 0))
 
-    for kind, node, text in scan(page or ""):
+    for kind, node, text in events:
         if kind == "text":
             if not dropped:
                 parts.append(text)
@@ -82,8 +181,8 @@ def blocks(page: str | None) -> list[tuple[str, int, bool]]:
                 elif node.name in ("br", "wbr"):
                     parts.append(" " if node.name == "br" else "")
         elif kind == "open":
-            is_main = node.name in ("article", "main") or bool(node.attrs) and node.get("role").lower() in _MAIN_ROLES
-            drop = dropped > 0 or _boilerplate(node, main > 0)
+            is_main = _kind(node.name, node.attrs)[4]
+            drop = dropped > 0 or id(node) in goes
             if node.name in BLOCK or drop and not dropped:
                 flush()
             state[id(node)] = (drop, is_main and not drop)

@@ -280,6 +280,27 @@ def test_extract_keeps_copies_without_article(spark):
     assert all(text[300 + i] == f"Page {i} says " + " ".join(["word"] * (9 + i)) for i in range(10))
 
 
+def test_blocks_keep_what_holds_the_article():
+    def kept(page):
+        found = extraction.blocks(page)
+        return [x[0] for x in found if x[2]] or [x[0] for x in found]
+
+    art = "<article><p>The article itself.</p></article>"
+    for wrap in ("<div class='content with-sidebar'>{}</div>", "<div id='page' class='has-header'>{}</div>", "<form action=/x>{}</form>", "<div class='a hidden b'>{}</div>", "<div class=more>{}</div>", "<fieldset role=form>{}</fieldset>"):
+        assert kept(wrap.format(art) + "<p>" + "elsewhere " * 30) == ["The article itself."]
+        assert kept(wrap.format("<p>No article, but most of the page's text.</p>") + "<div class=ad>Buy</div>") == ["No article, but most of the page's text."]
+    assert kept("<article class='a hidden b'><p>One</p></article>") == ["One"]
+    assert kept("<article hidden><p>One</p></article>") == kept("<article class=x hidden=''><p>One</p></article>") == []
+    for word in ("more", "side", "print", "legal", "alert", "rail", "tags", "share"):
+        page = f"<article><p>{'Text. ' * 9}</p><div class='{word}'>Prose so classed.</div><div class='{word}'><a href=/x>Link</a></div></article>"
+        assert kept(page) == [" ".join(["Text."] * 9), "Prose so classed."]
+        assert kept(f"<div>{'Text. ' * 9}</div><div class='{word}'>Not in an article</div>") == [" ".join(["Text."] * 9)]
+    # what is none of the article stays away, articles in it or not
+    page = "<article><p>Long enough a text.</p><div class=related><article>Card</article></div><div id=comments><article class=comment>" + "Reader " * 40 + "</article></div></article>"
+    assert kept(page) == ["Long enough a text."]
+    assert kept(art + "<div class=sidebar><article>Card</article></div>") == ["The article itself."]
+
+
 # ---- media
 
 
