@@ -2,7 +2,8 @@
 
 Folding: case, accents and compatibility forms, homoglyphs (Cyrillic and Greek look-alikes), digits and signs that stand for letters inside
 words (1d10t, $cum); everything else that is no letter becomes a space. Entries are whole words or word beginnings, with
-their smoothed log-odds as weights, in a `SUPPORT` share of the toxic rows at least; of the entries that match at one place the heaviest counts. Exception phrases
+their smoothed log-odds as weights, in `SUPPORT` toxic rows at least and more of them than chance gives any of the candidates (`CHANCE`,
+by Chernoff's bound over all candidates), so that more labels admit rarer words; of the entries that match at one place the heaviest counts. Exception phrases
 (`trash can`) are entries of the same automaton that cancel the matches they cover. The score is a logistic function of
 the matched weight, the weight per word, and the number of distinct entries, fitted on the same rows as the lexicon.
 
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import id_crc32, map_batches, rows_of, seeded, table
 
-FIT_ROWS, FIT_CHARS, THRESHOLD, PREFIX, SUPPORT = 10_000, 50_000, 0.3, (3, 9), 0.02
+FIT_ROWS, FIT_CHARS, THRESHOLD, PREFIX, SUPPORT, CHANCE = 10_000, 50_000, 0.3, (3, 9), 4, 1e-8
 EXCEPTIONS = ("trash can", "trash cans", "trash bin", "clown fish")
 #: Known whatever the labels hold, at a weight of its own.
 BUILT_IN = ("idiot", "moron", "scum", "loser", "stupid", "pathetic", "worthless", "disgusting")
@@ -100,6 +101,14 @@ class Lexicon:
         return 1 / (1 + np.exp(-np.clip(x @ np.array(self.beta), -30, 30)))
 
 
+def surprise(n: float, of: float, base: float) -> float:
+    """Chernoff's bound for n or more toxic rows of `of` at a share of `base`, as minus its logarithm."""
+    share = n / of
+    if share <= base:
+        return 0.0
+    return of * (share * np.log(share / base) + (0.0 if n == of else (1 - share) * np.log((1 - share) / (1 - base))))
+
+
 def learn(texts: list[str], toxic: list[int], exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
     """Entries whose odds of toxicity stand out, then the logistic by Newton steps."""
     built_in = {f" {w} ": BUILT_IN_WEIGHT for w in BUILT_IN}
@@ -117,12 +126,11 @@ def learn(texts: list[str], toxic: list[int], exceptions: tuple[str, ...] = EXCE
                 own.add(" " + w[:k])
         seen[int(y)].update(own)
     weights = dict(built_in)
-    least = max(4, SUPPORT * pos)
-    for k, n in seen[1].items():
-        if n < least:
-            continue
+    candidates = {k: n for k, n in seen[1].items() if n >= SUPPORT}
+    bound = float(np.log(max(1, len(candidates)) / CHANCE))
+    for k, n in candidates.items():
         w = float(np.log((n + 0.5) / (pos + 1)) - np.log((seen[0][k] + 0.5) / (neg + 1)))
-        if w > 2.5 and n >= least + 0.02 * seen[0][k]:
+        if w > 2.5 and n >= SUPPORT + 0.02 * seen[0][k] and surprise(n, n + seen[0][k], pos / (pos + neg)) > bound:
             weights[k] = w
     # an entry says nothing beside a shorter one that is as heavy
     weights = {k: w for k, w in weights.items() if not any(weights.get(k[:j], 0.0) >= w for j in range(1 + low, len(k)))}

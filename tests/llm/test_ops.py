@@ -363,6 +363,20 @@ def test_odd_texts_score(spark, docs, labels, empty):
         assert score(empty, module.fit(empty, labels)).count() == 0
 
 
+def test_toxicity_learns_words_of_few_toxic_rows():
+    rng = np.random.default_rng(5)
+    stem = ["".join(x) for x in rng.choice(list("abcdefghijklmnoprstuvz"), (400, 7))]
+    plain, rude = stem[:300], stem[300:]
+    texts, toxic = [], []
+    for i in range(12_000):
+        words = [plain[k] for k in rng.integers(0, 300, 12)]
+        toxic.append(int(i < 2000))
+        texts.append(" ".join([*words, rude[i % 100]] if i < 2000 else words))  # each in 1 % of the toxic rows
+    lexicon = toxicity.learn(texts, toxic)
+    score = lexicon.score(np.array([lexicon.features(f"{plain[0]} {w} {plain[1]}") for w in rude + plain]))
+    assert (score[:100] >= toxicity.THRESHOLD).all() and (score[100:] < toxicity.THRESHOLD).all()
+
+
 def test_folding_and_exceptions():
     lexicon = toxicity.Lexicon({" idiot ": 3.0, " trash ": 2.0, " scum ": 1.0})
     for text in ("an 1d10t!", "іdіоt", "IDIOT", "ïdiöt", "(idiot)", "$cum"):
