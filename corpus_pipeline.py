@@ -29,13 +29,14 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-copies, that with the smallest doc_id; of rows that share that id, or have none and equal texts, one."""
-    stays = simhash.near_duplicates(spark, docs).filter("doc_id = component_id").select(F.col("doc_id").cast("string").alias("_id"), F.lit(True).alias("_stays")).distinct()
-    text = F.md5(F.coalesce("text", F.lit("")))
-    keyed = docs.select(whole(docs), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), text)).alias("_id"))
-    one = Window.partitionBy("_id").orderBy(F.md5(F.coalesce("_row.text", F.lit(""))), *[F.col(f"_row.`{c}`") for c in docs.columns if c not in ("doc_id", "text")])
-    kept = keyed.join(staged(spark, stays, "dedup-stays"), "_id", "left").filter("_stays OR _row.doc_id IS NULL")
-    return kept.withColumn("_turn", F.row_number().over(one)).filter("_turn = 1").select("_row.*")
+    """One row of each group of near-copies, that with the smallest doc_id, whatever other groups share that id; rows without an id come last in theirs."""
+    found = simhash.near_duplicates(spark, docs, digest=True)
+    first = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("_first")).select("_first.*")
+    key = lambda digest: F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.lit(":"), digest).alias("_id")
+    stays = staged(spark, first.select(key(F.col("digest"))), "dedup-stays")
+    keyed = docs.select(whole(docs), key(F.md5(F.coalesce("text", F.lit("")))))
+    one = Window.partitionBy("_id").orderBy(*[F.col(f"_row.`{c}`") for c in docs.columns])
+    return keyed.join(stays, "_id").withColumn("_turn", F.row_number().over(one)).filter("_turn = 1").select("_row.*")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

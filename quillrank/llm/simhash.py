@@ -58,17 +58,18 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int((np.uint64(1) << _BITS[counts * 2 > n]).sum(dtype=np.uint64))
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp): fp holds the 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
+    """(doc_id, fp): fp holds the 64 bits as a signed long; digest adds the md5 of the text."""
 
     def make():
         def run(batch: pa.RecordBatch) -> dict:
             fp = np.array([fingerprint(x) for x in rows_of(batch, "text")], np.uint64).view(np.int64)
-            return {"doc_id": batch.column(0), "fp": fp}
+            return {"doc_id": batch.column(0), "fp": fp, "digest": batch.column(batch.num_columns - 1)}
 
         return run
 
-    return map_batches(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), make, "doc_id long, fp long")
+    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *[F.md5(F.coalesce(text, F.lit(""))).alias("digest")] * digest)
+    return map_batches(base, make, "doc_id long, fp long" + ", digest string" * digest)
 
 
 def planes(fps: np.ndarray) -> np.ndarray:
@@ -205,19 +206,20 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         labels = after
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id) of every row."""
-    rows = staged(spark, fingerprints(docs, doc_id, text), "simhash-rows")
+def near_duplicates(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
+    """(doc_id, fp, component_id) of every row; digest adds the md5 of the text and label, which tells components apart that share their smallest doc_id."""
+    rows = staged(spark, fingerprints(docs, doc_id, text, digest), "simhash-rows")
+    more = ["digest", "label"] * digest
     distinct = staged(spark, rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-distinct")
     edges = staged(spark, link_edges(spark, distinct), "simhash-edges")
     if edges.limit(1).count() == 0:
-        return rows.join(distinct, "fp").select("doc_id", "fp", F.col("low").alias("component_id"))
+        return rows.join(distinct, "fp").withColumn("label", F.col("fp")).select("doc_id", "fp", F.col("low").alias("component_id"), *more)
     labels = components(spark, edges)
     known = distinct.join(labels, distinct.fp == labels.v, "left").select("fp", "low", F.coalesce("label", "fp").alias("label"))
     known = staged(spark, known, "simhash-labels")
     lows = staged(spark, known.groupBy("label").agg(F.min("low").alias("component_id")), "simhash-lows")
-    of = staged(spark, known.join(lows, "label").select("fp", "component_id"), "simhash-components")
-    return rows.join(of, "fp").select("doc_id", "fp", "component_id")
+    of = staged(spark, known.join(lows, "label").select("fp", "component_id", "label"), "simhash-components")
+    return rows.join(of, "fp").select("doc_id", "fp", "component_id", *more)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

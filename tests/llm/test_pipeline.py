@@ -45,6 +45,13 @@ def test_near_dedup_keeps_one_of_each_group(spark, docs, sf):
     assert got.columns == docs.columns and sorted(r.doc_id for r in got.select("doc_id").collect()) == sorted(want)
 
 
+def test_near_dedup_of_rows_that_share_an_id(spark):
+    one, two, three = ("".join(f"{w}{k} " for k in range(60)) for w in ("a", "b", "c"))
+    some = [(1, one), (1, two), (1, two), (2, one), (None, two), (None, three), (None, three), (5, None), (5, "")]
+    got = cp.near_dedup(spark, spark.createDataFrame(some, "doc_id long, text string"), "").collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in got) == [(0, three), (1, one), (1, two), (5, "")]
+
+
 def test_mixed_repeats_documents(spark, docs, sf):
     got = Counter(r.doc_id for r in cp.mixed(spark, docs, sf).select("doc_id").collect())
     want = Counter()
