@@ -40,10 +40,18 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: a document is repeated as often as the words taken from it ask for, to the nearest whole copy; one without words stays once."""
+    """The mix: a document is repeated as often as the words taken from it ask for, to the nearest whole copy; one without words stays once.
+
+    Of a source with a target whose documents would all round to none, the one most is taken from stays (of equals, the shortest).
+    """
     out = mixing.mix(spark, docs.select(whole(docs), "doc_id", "text", "source"), ["_row"])
     copies = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(1).cast("int")
-    return out.withColumn("_copies", copies).filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
+    out = staged(spark, out.withColumn("_copies", copies).withColumn("_n", F.monotonically_increasing_id()), "mix-copies")
+    worded = out.filter("size > 0 AND target > 0").groupBy(F.col("_row.source").alias("source"))
+    best = F.max(F.struct("taken", (-F.col("size")).alias("short"), F.col("_n")))
+    gone = staged(spark, worded.agg(F.max("_copies").alias("most"), best.alias("best")).filter("most = 0").select(F.col("best._n").alias("_n"), F.lit(1).alias("_least")), "mix-least")
+    out = out.join(gone, "_n", "left").withColumn("_copies", F.greatest("_copies", "_least"))
+    return out.filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

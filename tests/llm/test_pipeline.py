@@ -60,6 +60,12 @@ def test_mixed_repeats_documents(spark, docs, sf):
     assert got == +want
 
 
+def test_mixed_keeps_every_source(spark):
+    some = [(i, "word " * 400, f"s{i % 3}") for i in range(30)] + [(100, "long " * 40_000, "one"), (101, "few words", "tiny")]
+    got = Counter(r.source for r in cp.mixed(spark, spark.createDataFrame(some, "doc_id long, text string, source string"), "").select("source").collect())
+    assert set(got) == {"s0", "s1", "s2", "one", "tiny"} and got["one"] == got["tiny"] == 1
+
+
 def test_run(spark, sf, docs):
     got = cp.run(spark, sf).toPandas()
     assert len(got) and (got.groupby("sequence_id").length.sum() <= packing.SIZE).all()
