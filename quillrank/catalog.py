@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,7 +15,8 @@ from .functions import text as tx
 from .operators import evaluate, fields, filters, fusion, semantic
 from .operators.index import Index
 from .operators.scoring import Bm25, batch_rank, rank, score_rows, top_k
-from .plans.querylang import match, parse
+from .operators.store import Store
+from .plans.querylang import Prepared, match, match_query, parse
 from .sources.tables import table
 from .streaming import mutation
 
@@ -111,14 +115,21 @@ def idx_expression(spark, sf):
 
 
 def folder(spark: SparkSession) -> str:
-    """A place for index versions: the shared folder, or a temporary one where none is set."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    """A place for an index in the folder that driver and executors share, deleted when the driver ends; one is made only where none is set, in local tests."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="quillrank-")
         spark.conf.set("spark.checkpoint.dir", at)
-    import uuid
+    path = f"{at.rstrip('/')}/index-{uuid.uuid4().hex}"
 
-    return f"{at.rstrip('/')}/index-{uuid.uuid4().hex}"
+    def drop() -> None:
+        with contextlib.suppress(Exception):
+            Store(spark, path).delete()
+
+    atexit.register(drop)
+    return path
 
 
 def built(spark, sf, docs: DataFrame | None = None) -> Index:
@@ -138,9 +149,48 @@ def idx_refresh(spark, sf):
     return index.refresh(docs.drop("tokens"), tx.simple_tokens(F.col("text"))).query("the of", K).select("doc_id", "score")
 
 
-@query("idx_details")
+def indexed(name: str, q: str, weights: dict[str, float], where: str) -> None:
+    """A raw query answered from postings, positions and flags."""
+
+    def run(spark, sf):
+        return built(spark, sf).query(q, K).select("doc_id", "score")
+
+    query(name, _top(_scored(weights), where=where))(run)
+
+
+@query("idx_details", "SELECT 'doc_id' AS key, count(*) AS docs, 1::INTEGER AS generation, 0::INTEGER AS rebuilds, 0::BIGINT AS pending, 'realtime' AS consistency, false AS stale FROM documents")
 def idx_details(spark, sf):
-    return built(spark, sf).details()
+    return built(spark, sf).details().drop("index_name")
+
+
+@query(
+    "idx_evidence",
+    f"""WITH {DOCS}, t AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, dl, unnest(tokens) AS term FROM d) GROUP BY ALL),
+st AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS avgdl FROM d),
+s AS (SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf, max(tf)::DOUBLE AS tf, min(dl) AS dl FROM t WHERE term IN ('the', 'que') OR starts_with(term, 'thedin') GROUP BY term)
+SELECT term, df, cf, CASE WHEN term = 'the' THEN 2.0 ELSE 1.0 END::DOUBLE AS weight, round({_idf(Bm25())}, 6) AS idf, round({_idf(Bm25())} * CASE WHEN term = 'the' THEN 2.0 ELSE 1.0 END * {_tfc(Bm25())}, 6) AS bound FROM s, st""",
+)
+def idx_evidence(spark, sf):
+    return built(spark, sf).evidence("the que the thedin*")
+
+
+@query("idx_members", "SELECT doc_id FROM documents WHERE lang IN ('en', 'fr') AND source = 'src1'")
+def idx_members(spark, sf):
+    index = Index.build(spark, folder(spark), documents(spark, sf).drop("tokens"), "doc_id", "text", scope=["lang", "source"])
+    return index.members({"lang": {"in": ["en", "fr"]}, "source": {"eq": "src1"}})
+
+
+@query("idx_partial", _top(_scored({"the": 1, "src1": 1}, docs=DOCS.replace(TOK.format(c="text"), TOK.format(c="text || ' ' || coalesce(source, '')")).replace("FROM documents", "FROM documents WHERE doc_id % 5 <> 2"))))
+def idx_partial(spark, sf):
+    """Over an SQL expression and a part of the rows, both of which the index remembers."""
+    words = r"regexp_extract_all(lower(concat(text, ' ', coalesce(source, ''))), '[\\p{L}\\p{N}_]+', 0)"
+    index = Index.build(spark, folder(spark), documents(spark, sf).drop("tokens"), "doc_id", expression=words, where="doc_id % 5 <> 2")
+    return index.query("the src1", K).select("doc_id", "score")
+
+
+@query("idx_audit", "SELECT 'none'::VARCHAR AS fault, 0::BIGINT AS n WHERE false")
+def idx_audit(spark, sf):
+    return built(spark, sf).audit()
 
 
 # ---- text
@@ -155,7 +205,11 @@ def text_tokenize(spark, sf):
     return documents(spark, sf).select("doc_id", F.array_join("tokens", " ").alias("tokens"))
 
 
-@query("text_words")
+#: The same words without look-around, for texts without ideographs.
+_WORDS_SQL = "regexp_extract_all(replace(lower(nfc_normalize(text)), 'ß', 'ss'), '(?:(?:\\p{L}[''’.:·])+\\p{L}|(?:\\p{N}[.,;''])+\\p{N}|[\\p{L}\\p{N}\\p{M}_])+')"
+
+
+@query("text_words", f"SELECT doc_id, array_to_string(coalesce({_WORDS_SQL}, []::VARCHAR[]), ' ') AS tokens FROM documents")
 def text_words(spark, sf):
     return documents(spark, sf).select("doc_id", F.array_join(tx.tokenize(F.col("text")), " ").alias("tokens"))
 
@@ -166,7 +220,7 @@ def text_normalize_tokens(spark, sf):
     return documents(spark, sf).select("doc_id", F.array_join(tx.normalize_tokens(F.col("tokens"), policy), " ").alias("tokens"))
 
 
-@query("text_casefold")
+@query("text_casefold", "SELECT doc_id, replace(lower(nfc_normalize(text)), 'ß', 'ss') AS folded FROM documents")
 def text_casefold(spark, sf):
     return documents(spark, sf).select("doc_id", tx.case_fold(tx.nfc(F.col("text"))).alias("folded"))
 
@@ -259,12 +313,23 @@ matched("match_boolean", '(the OR que) AND NOT thed', f"({has('the')} OR {has('q
 matched("match_not_only", "NOT the", f"NOT {has('the')}")
 
 
-@query("match_prepared", f"WITH {DOCS} SELECT doc_id FROM d WHERE {has('reaon')} OR len(list_filter(tokens, lambda x: strip_accents(x) IN ('ecole', 'que'))) > 0")
+@query("match_prepared", f"WITH {DOCS} SELECT doc_id FROM d WHERE len(list_filter(tokens, lambda x: strip_accents(x) IN ('reaon', 'etre', 'que'))) > 0")
 def match_prepared(spark, sf):
-    policy = tx.TextPolicy(fold_diacritics=True)
-    q = parse("REAON école QUE", lambda t: [{"école": "ecole"}.get(t.lower(), t.lower())])
+    """Normalised on both sides by the query's own options."""
     docs = documents(spark, sf)
-    return docs.filter(match(q.root, tx.normalize_tokens(F.col("tokens"), policy)) | F.array_contains("tokens", "reaon")).select("doc_id")
+    return docs.filter(match_query(docs, "tokens", Prepared("REAON être QUE", fold_diacritics=True))).select("doc_id")
+
+
+@query("match_query_text", f"SELECT doc_id FROM documents WHERE list_contains({_WORDS_SQL}, 'que') AND NOT list_contains({_WORDS_SQL}, 'aux')")
+def match_query_text(spark, sf):
+    docs = table(spark, sf, "documents")
+    return docs.filter(match_query(docs, "text", Prepared("QUE AND NOT aux"))).select("doc_id")
+
+
+@query("order_tokens", "SELECT pos::INTEGER AS pos, token FROM (VALUES (0, 'cafe'), (1, 'and'), (2, 'run')) t(pos, token)")
+def order_tokens(spark, sf):
+    got = Prepared("+CAFÉ (and) -the running", stopwords=("the",), stem_english=True, fold_diacritics=True).order_tokens()
+    return spark.createDataFrame(list(enumerate(got)), "pos int, token string")
 
 
 @query("match_then_order", _top(_scored({"que": 1, "of": 1}), where=f"WHERE {has('the')}"))
@@ -281,6 +346,23 @@ def bm25_with_deletes(spark, sf):
     return best(score_rows(docs.join(retired, "doc_id", "left_anti"), F.col("tokens"), TERMS, Bm25()))
 
 
+def _begun(weight: int) -> str:
+    """The term "the" at a weight, and whatever "a" begins; only rows with the latter."""
+    both = f"SELECT t, sum(w) FROM (SELECT 'the' AS t, {weight}::DOUBLE AS w UNION ALL SELECT DISTINCT t, 1::DOUBLE FROM (SELECT unnest(tokens) AS t FROM d) WHERE starts_with(t, 'a')) GROUP BY t"
+    return _top(_scored({"the": 1}).replace("VALUES ('the', 1.0::DOUBLE)", both).replace("VALUES ('the', 1::DOUBLE)", both), where="WHERE len(list_filter(tokens, lambda x: starts_with(x, 'a'))) > 0")
+
+
+@query("bm25_must_prefix", _begun(1))
+def bm25_must_prefix(spark, sf):
+    """A prefix that a large part of the vocabulary begins with: its terms are a table, in the scan as in the index."""
+    return best(rank(documents(spark, sf), F.col("tokens"), "+a* the"))
+
+
+@query("idx_prefix", _begun(0))
+def idx_prefix(spark, sf):
+    return built(spark, sf).query("+a*", K).select("doc_id", "score")
+
+
 @query("bm25_weight_mask", _top(_scored(TERMS, Bm25("bm25+"), mask="(CASE doc_id % 4 WHEN 0 THEN 1 WHEN 1 THEN -1 WHEN 2 THEN 0.5 ELSE 2 END)::DOUBLE")))
 def bm25_weight_mask(spark, sf):
     m = F.col("doc_id") % 4
@@ -339,6 +421,38 @@ def bm25_batch(spark, sf):
     return batch_rank(docs, "doc_id", tx.simple_tokens(F.col("text")), q, Bm25(), K)
 
 
+def _batch_sql(p: Bm25) -> str:
+    base = f"SELECT query_id, sum(w * {_idf(p)}) * {p.missing()}::DOUBLE AS base FROM q JOIN df USING (term), st GROUP BY query_id"
+    sql = ORACLES["bm25_batch"].replace(_idf(Bm25()) + " * " + _tfc(Bm25()), f"{_idf(p)} * ({_tfc(p)} - {p.missing()}::DOUBLE)")
+    return sql.replace("sc AS (SELECT query_id, doc_id, round(sum(impact * w), 6) AS score FROM im JOIN q USING (term) GROUP BY ALL)", f"b AS ({base}),\nsc AS (SELECT query_id, doc_id, round(sum(impact * w) + any_value(base), 6) AS score FROM im JOIN q USING (term) JOIN b USING (query_id) GROUP BY query_id, doc_id)")
+
+
+def benchmark_terms(spark, sf) -> DataFrame:
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(tx.simple_tokens(F.col("text"))).alias("term"))
+
+
+for _name, _p in {"plus": Bm25("bm25+"), "l": Bm25("bm25l"), "atire": Bm25("atire"), "robertson": Bm25("robertson")}.items():
+
+    def _batch(spark, sf, p=_p):
+        docs = table(spark, sf, "documents").select("doc_id", "text")
+        return batch_rank(docs, "doc_id", tx.simple_tokens(F.col("text")), benchmark_terms(spark, sf), p, K)
+
+    query(f"bm25_batch_{_name}", _batch_sql(_p))(_batch)
+
+
+@query("idx_batch", _batch_sql(Bm25("bm25+")))
+def idx_batch(spark, sf):
+    docs = documents(spark, sf).drop("tokens")
+    index = Index.build(spark, folder(spark), docs, "doc_id", tx.simple_tokens(F.col("text")), params=Bm25("bm25+"))
+    return index.query_batch(benchmark_terms(spark, sf), K)
+
+
+indexed("idx_must_mustnot", "+the thed of -que", {"the": 1, "thed": 1, "of": 1}, f"WHERE {has('the')} AND NOT {has('que')}")
+indexed("idx_boolean", '(the AND thed) OR (que AND NOT der) OR "of the"', {"the": 2, "thed": 1, "que": 1, "of": 1}, f"WHERE ({has('the', 'thed')}) OR ({has('que')} AND NOT {has('der')}) OR {phrase_sql('of', 'the')}")
+indexed("idx_phrase", '"in the"', {"in": 1, "the": 1}, f"WHERE {phrase_sql('in', 'the')}")
+indexed("idx_not_only", "NOT the", {"zzmissing": 1}, f"WHERE NOT {has('the')}")
+
+
 # ---- fields
 
 PART_TERMS = {"green": 1.0, "steel": 1.0, "brass": 1.0, "small": 1.0}
@@ -397,9 +511,9 @@ def filtered(name: str, spec: dict, where: str) -> None:
 filtered("filter_eq", {"p_size": {"eq": 7}}, "p_size = 7")
 filtered("filter_in", {"p_size": {"in": [1, 5, 9]}, "p_brand": {"in": ["Brand#11", "Brand#23", "Brand#45"]}}, "p_size IN (1, 5, 9) AND p_brand IN ('Brand#11', 'Brand#23', 'Brand#45')")
 filtered("filter_overlap", {"name_tokens": {"overlap": ["green", "red", "a"]}}, f"list_has_any({_NAME}, ['green', 'red', 'a'])")
-filtered("filter_ilike", {"p_type": {"ilike": "%STEEL"}}, "p_type ILIKE '%STEEL'")
+filtered("filter_ilike", {"p_type": {"ilike": "%aNd_Rd"}}, "p_type ILIKE '%aNd_Rd'")
 filtered("filter_ilike_any", {"type_tokens": {"ilike_any": ["sm%", "%plated"]}}, f"len(list_filter({_TYPE}, lambda x: x ILIKE 'sm%' OR x ILIKE '%plated')) > 0")
-filtered("filter_range", {"p_retailprice": {"range": {"gte": 950, "lt": 1200.5}}}, "p_retailprice >= 950 AND p_retailprice < 1200.5")
+filtered("filter_range", {"p_retailprice": {"range": {"gte": 905.5, "lt": 912.3}}, "p_size": {"range": {"gt": 10}}}, "p_retailprice >= 905.5 AND p_retailprice < 912.3 AND p_size > 10")
 
 
 @query("bm25_filtered_topk", _top(_scored(TERMS, where="WHERE lang = 'en' AND n_chars BETWEEN 500 AND 3000", docs=DOCS.replace("SELECT doc_id,", "SELECT doc_id, lang, n_chars,"))))
@@ -416,9 +530,11 @@ def bm25_filtered_topk(spark, sf):
 def natural_ranked_sql(spark, sf):
     docs = documents(spark, sf)
     ranked_docs = rank(docs.filter("source IN ('src1', 'src2')"), F.col("tokens"), "the of", corpus=docs)
-    ranked_docs.withColumn("score", F.round("score", 6)).createOrReplaceTempView("ranked_documents")
-    table(spark, sf, "labels").createOrReplaceTempView("document_labels")
-    return spark.sql(f"SELECT doc_id, score, coalesce(quality, -1) AS quality FROM ranked_documents LEFT JOIN document_labels USING (doc_id) ORDER BY score DESC, doc_id LIMIT {K}")
+    return spark.sql(
+        f"SELECT doc_id, score, coalesce(quality, -1) AS quality FROM {{ranked}} LEFT JOIN {{labels}} USING (doc_id) ORDER BY score DESC, doc_id LIMIT {K}",
+        ranked=ranked_docs.withColumn("score", F.round("score", 6)),
+        labels=table(spark, sf, "labels"),
+    )
 
 
 # ---- fusion
@@ -585,7 +701,7 @@ SELECT query_id, round(coalesce(dcg / idcg, 0), 6) AS ndcg10, round(coalesce(ap
 def eval_metrics(spark, sf):
     labels = table(spark, sf, "labels").select("doc_id", (F.col("quality") + F.col("toxic")).alias("grade"))
     q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 10).alias("m"))
-    qrels = labels.withColumn("m", F.col("doc_id") % 10).join(F.broadcast(q), "m").select("query_id", "doc_id", "grade")
+    qrels = labels.withColumn("m", F.col("doc_id") % 10).join(q, "m").select("query_id", "doc_id", "grade")
     return evaluate.metrics(bm25_batch(spark, sf), qrels)
 
 
@@ -672,10 +788,10 @@ def idx_maintained(spark, sf):
 
 @query("idx_stream", ORACLES["delta_realtime"])
 def idx_stream(spark, sf):
-    """Changes stream into the log of an index, which answers with them."""
+    """All changes, several of a key, stream into the log of an index in no order, and the last of each by `seq` counts."""
     at = folder(spark)
     index = Index.build(spark, f"{at}/index", documents(spark, sf).select("doc_id", "tokens"), "doc_id", "tokens")
-    delta_upsert(spark, sf).select("doc_id", "op", tx.simple_tokens(F.col("text")).alias("tokens")).write.parquet(f"{at}/in")
+    log(spark, sf).select("doc_id", "op", "seq", tx.simple_tokens(F.col("text")).alias("tokens")).repartition(4).write.parquet(f"{at}/in")
     stream = spark.readStream.schema(spark.read.parquet(f"{at}/in").schema).parquet(f"{at}/in")
     mutation.follow(stream, index, f"{at}/commits").awaitTermination()
     return index.query_tokens(list(A), K).select("doc_id", "score")

@@ -20,6 +20,11 @@ SIMPLE = r"[\p{L}\p{N}_]+"
 WORDS = r"[\p{IsHan}\p{IsHiragana}]\p{M}*|[\p{L}\p{N}\p{M}_&&[^\p{IsHan}\p{IsHiragana}]]+(?:(?:(?<=\p{L})['’.:·](?=\p{L})|(?<=\p{N})[.,;'](?=\p{N}))[\p{L}\p{N}\p{M}_&&[^\p{IsHan}\p{IsHiragana}]]+)*"
 
 
+def bind(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c) with c computed once: the optimiser copies a column into each place that names it, but not what a lambda has bound."""
+    return F.get(F.transform(F.array(c), f), 0)
+
+
 @dataclass(frozen=True)
 class TextPolicy:
     """How tokens are normalised; None means the index's own setting where a query overrides one."""
@@ -78,6 +83,16 @@ def stem_tokens(tokens: Column) -> Column:
     return _stemmer()(tokens)
 
 
+def split_words(text: str) -> list[str]:
+    """Words of a short text on the driver, by the breaks of WORDS."""
+    import regex
+
+    han = r"[\p{Han}\p{Hiragana}]\p{M}*"
+    join = r"(?<=\p{L})['’.:·](?=\p{L})|(?<=\p{N})[.,;'](?=\p{N})"
+    word = r"[[\p{L}\p{N}\p{M}_]--[\p{Han}\p{Hiragana}]]+"
+    return regex.findall(rf"(?V1){han}|{word}(?:(?:{join}){word})*", text)
+
+
 def simple_tokens(text: Column) -> Column:
     """Lower-cased runs of letters, digits and underscores; a null text has none."""
     return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(SIMPLE), F.lit(0)), F.array().cast("array<string>"))
@@ -116,11 +131,11 @@ def normalize_tokens(tokens: Column, policy: TextPolicy | None = None) -> Column
 
 
 def phrase_at(tokens: Column, phrase: list[str]) -> Column:
-    """Start positions (from 1) of a phrase."""
+    """Start positions (from 1) of a phrase; tokens are named more than once, so bind() what is computed."""
     n = len(phrase)
     want = F.array(*[F.lit(p) for p in phrase])
     starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.greatest(F.size(tokens) - n + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    return F.filter(starts, lambda i: F.slice(tokens, i, n) == want)
+    return F.filter(starts, lambda i: (F.element_at(tokens, i) == phrase[0]) & (F.slice(tokens, i, n) == want))
 
 
 def overlap(tokens: Column, query: list[str]) -> Column:
@@ -155,25 +170,33 @@ def marks(tokens: Column, terms: list[str], prefixes: list[str], phrases: list[l
 
 def highlight(tokens: Column, terms: list[str], prefixes: list[str] | None = None, phrases: list[list[str]] | None = None, start: str = "<b>", end: str = "</b>") -> Column:
     """Tokens joined by one space, matches wrapped."""
-    flags = marks(tokens, terms, prefixes or [], phrases or [])
-    return F.array_join(F.zip_with(tokens, flags, lambda t, m: F.when(m, F.concat(F.lit(start), t, F.lit(end))).otherwise(t)), " ")
+
+    def whole(t: Column) -> Column:
+        return F.array_join(_wrapped(t, marks(t, terms, prefixes or [], phrases or []), start, end), " ")
+
+    return bind(tokens, whole)
+
+
+def _wrapped(tokens: Column, flags: Column, start: str, end: str) -> Column:
+    return F.zip_with(tokens, flags, lambda t, m: F.when(m, F.concat(F.lit(start), t, F.lit(end))).otherwise(t))
 
 
 def snippet(tokens: Column, terms: list[str], prefixes: list[str] | None = None, phrases: list[list[str]] | None = None, max_tokens: int = 24, start: str = "<b>", end: str = "</b>") -> Column:
     """A window of max_tokens around the first match, half of it before, with ellipses where text is left out."""
-    flags = marks(tokens, terms, prefixes or [], phrases or [])
-    first = F.greatest(F.array_position(flags, True).cast("int"), F.lit(1))
-    at = F.greatest(F.lit(1), F.least(first - max_tokens // 2, F.size(tokens) - max_tokens + 1))
-    wrapped = F.zip_with(tokens, flags, lambda t, m: F.when(m, F.concat(F.lit(start), t, F.lit(end))).otherwise(t))
-    body = F.array_join(F.slice(wrapped, at, max_tokens), " ")
-    return F.concat(F.when(at > 1, "... ").otherwise(""), body, F.when(at + max_tokens <= F.size(tokens), " ...").otherwise(""))
-
-
-def plain_terms(text: str) -> str:
-    """User text as terms only, so that no operator reaches the parser."""
-    import re
-
-    terms = re.findall(r"[^\W_]+", text.lower())
-    if not terms:
-        raise ValueError("the query has no terms")
-    return " ".join(terms)
+
+    def window(t: Column) -> Column:
+        return bind(marks(t, terms, prefixes or [], phrases or []), lambda flags: cut(t, flags))
+
+    def cut(t: Column, flags: Column) -> Column:
+        first = F.greatest(F.array_position(flags, True).cast("int"), F.lit(1))
+        at = F.greatest(F.lit(1), F.least(first - max_tokens // 2, F.size(t) - max_tokens + 1))
+        body = F.array_join(F.slice(_wrapped(t, flags, start, end), at, max_tokens), " ")
+        return F.concat(F.when(at > 1, "... ").otherwise(""), body, F.when(at + max_tokens <= F.size(t), " ...").otherwise(""))
+
+    return bind(tokens, window)
+
+
+def plain_terms(text: Column) -> Column:
+    """User text as terms only, joined by spaces, so that no operator reaches the parser; null where the text has no terms."""
+    words = F.array_join(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), " ")
+    return F.when(words != "", words)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.querylang import Query, QueryError, parse
-from .scoring import Bm25, score_rows
+from .scoring import Bm25, Part, score_parts
 
 
 def fused(*columns: Column) -> Column:
@@ -27,10 +27,4 @@ def rank_fields(docs: DataFrame, fields: dict[str, Column], query: str | Query,
     if not q.simple or q.prefixes or q.phrases:
         raise QueryError("a query over fields takes plain terms only")
     terms = dict(Counter(q.terms))
-    safe = {n: F.coalesce(c, F.array().cast("array<string>")) for n, c in fields.items()}
-    length = sum((F.size(c) for c in safe.values()), F.lit(0)).cast("double")
-    out = docs.withColumn("_total", F.lit(0.0))
-    for name, w in zip(names, weights, strict=True):
-        out = score_rows(out, safe[name], terms, params or Bm25(), dl=length)
-        out = out.withColumn("_total", F.col("_total") + F.col("score") * float(w)).drop("score")
-    return out.withColumnRenamed("_total", "score")
+    return score_parts(docs, [Part(fields[n], terms, float(w)) for n, w in zip(names, weights, strict=True)], params or Bm25())

@@ -49,6 +49,17 @@ def predicate(df: DataFrame, spec: dict | str) -> Column:
     return reduce(Column.__and__, parts)
 
 
+def equalities(spec: dict, columns: list[str]) -> dict[str, list] | None:
+    """{column: values} where a filter asks for values of these columns alone (eq, in, overlap); else None."""
+    out: dict[str, list] = {}
+    for name, test in spec.items():
+        ((op, value),) = test.items()
+        if name not in columns or op not in ("eq", "in", "overlap") or op == "eq" and (value is None or isinstance(value, (list, dict))):
+            return None
+        out[name] = [value] if op == "eq" else list(value)
+    return out
+
+
 def _many(value) -> list:
     if not isinstance(value, list):
         raise FilterError("the operand is a list")

@@ -1,14 +1,15 @@
 """BM25 in five term-frequency and five IDF variants, as Columns; scoring without an index, and top-k.
 
-A query of m distinct terms needs dl and m term counts of each row, which one narrow pass computes in generated code without any
-shuffle; document frequencies are one global aggregate of m numbers, joined back as a single row. Top-k is Spark's bounded
-TakeOrderedAndProject. Prefixes are expanded against the vocabulary first.
+A query of m distinct terms needs dl and m term counts of each row, which one narrow pass computes without any shuffle, a row's
+tokens once; document frequencies are one global aggregate of m numbers, joined back as a single row. Top-k is Spark's bounded
+TakeOrderedAndProject. Terms that a prefix begins are a table, joined.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -62,60 +63,102 @@ class Bm25:
         }[self.idf_method]
 
 
-def term_counts(tokens: Column, terms: list[str]) -> list[Column]:
-    def count(w: str) -> Column:
-        return F.size(F.filter(tokens, lambda t: t == F.lit(w))).cast("double")
+@dataclass(frozen=True)
+class Part:
+    """One token stream with its query terms: several of them are fields, which share one length and are scored in one pass."""
+
+    tokens: Column
+    weights: dict[str, float]
+    factor: float = 1.0
+
+
+def _count(tokens: Column, term: str) -> Column:
+    return F.size(F.filter(tokens, lambda t: t == F.lit(term))).cast("double")
+
 
-    return [count(w) for w in terms]
+def _counted(docs: DataFrame, parts: list[Part], hit: Callable[[Column], Column] | None) -> DataFrame:
+    """docs with _dl, _tfs (term counts of all parts in order) and _hit; a generator computes them once a row, and no filter moves below it."""
+    none = F.array().cast("array<string>")
 
+    def numbers(streams: Column) -> Column:
+        own = [streams[i] for i in range(len(parts))]
+        counts = [_count(t, w) for t, p in zip(own, parts, strict=True) for w in p.weights]
+        size = sum((F.size(t) for t in own[1:]), F.size(own[0])).cast("double")
+        return F.struct(size.alias("_dl"), F.array(*counts).cast("array<double>").alias("_tfs"), (hit(own[0]) if hit else F.lit(True)).alias("_hit"))
 
-def statistics(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """One row: n, avgdl, df (array in the order of terms). docs has dl and tfs."""
-    return docs.agg(
-        F.count(F.lit(1)).cast("double").alias("n"),
-        F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"),
-        F.array(*[F.coalesce(F.sum((F.col("tfs")[i] > 0).cast("double")), F.lit(0.0)) for i in range(len(terms))]).cast("array<double>").alias("df"),
+    streams = F.array(F.array(*[F.coalesce(p.tokens, none) for p in parts]))
+    return docs.select("*", F.inline(F.transform(streams, numbers)))
+
+
+def score_parts(docs: DataFrame, parts: list[Part], params: Bm25, *, mask: Column | None = None, corpus: DataFrame | None = None, hit: Callable[[Column], Column] | None = None) -> DataFrame:
+    """docs with `score`: over the parts, factor times BM25 with the part's own document frequencies. One scan for the statistics, one for the scores.
+
+    corpus: rows that the statistics come from, by default docs. hit: of the first part's tokens, which rows are kept (statistics stay those of all)."""
+    rows = _counted(docs, parts, hit)
+    of = rows if corpus is None else _counted(corpus, parts, None)
+    m = sum(len(p.weights) for p in parts)
+    stats = of.agg(
+        F.count(F.lit(1)).cast("double").alias("_n"),
+        F.coalesce(F.avg("_dl"), F.lit(0.0)).alias("_avgdl"),
+        F.array(*[F.coalesce(F.sum((F.col("_tfs")[i] > 0).cast("double")), F.lit(0.0)) for i in range(m)]).cast("array<double>").alias("_df"),
     )
+    rows = rows.filter("_hit").crossJoin(F.broadcast(stats))  # statistics are one row by construction: a global aggregate
+    gain, base, i = F.lit(0.0), F.lit(0.0), 0
+    for part in parts:
+        for w in part.weights.values():
+            df = F.col("_df")[i]
+            idf = F.when(df > 0, params.idf(df, F.col("_n"))).otherwise(0.0) * float(w * part.factor)
+            gain = gain + idf * (params.tfc(F.col("_tfs")[i], F.col("_dl"), F.col("_avgdl")) - params.missing())
+            base = base + idf * params.missing()
+            i += 1
+    return rows.withColumn("score", (gain if mask is None else gain * mask) + base).drop("_dl", "_tfs", "_hit", "_n", "_avgdl", "_df")
+
+
+def score_rows(docs: DataFrame, tokens: Column, weights: dict[str, float], params: Bm25, *, mask: Column | None = None, corpus: DataFrame | None = None, hit: Callable[[Column], Column] | None = None) -> DataFrame:
+    """docs with `score` for weighted terms."""
+    return score_parts(docs, [Part(tokens, weights)], params, mask=mask, corpus=corpus, hit=hit)
 
 
-def score_rows(docs: DataFrame, tokens: Column, weights: dict[str, float], params: Bm25, *, mask: Column | None = None, corpus: DataFrame | None = None, corpus_tokens: Column | None = None, dl: Column | None = None) -> DataFrame:
-    """docs with `score`. corpus: rows that the statistics come from, by default docs; dl: another length than that of tokens."""
-    terms = list(weights)
-    counted = lambda df, t, size: df.withColumns({"dl": size if size is not None else F.size(t).cast("double"), "tfs": F.array(*term_counts(t, terms)).cast("array<double>")})
-    rows = counted(docs, tokens, dl)
-    stats = statistics(rows if corpus is None else counted(corpus, corpus_tokens if corpus_tokens is not None else tokens, dl), terms)
-    rows = rows.join(F.broadcast(stats))  # one row
-    gain, base = F.lit(0.0), F.lit(0.0)
-    for i, w in enumerate(weights.values()):
-        df = F.col("df")[i]
-        idf = F.when(df > 0, params.idf(df, F.col("n"))).otherwise(0.0) * float(w)
-        gain = gain + idf * (params.tfc(F.col("tfs")[i], F.col("dl"), F.col("avgdl")) - params.missing())
-        base = base + idf * params.missing()
-    return rows.withColumn("score", (gain if mask is None else gain * mask) + base).drop("dl", "tfs", "n", "avgdl", "df")
-
-
-def expand(docs: DataFrame, tokens: Column, query: Query) -> dict[str, float]:
-    """Scoring terms with how often each counts; a prefix counts each vocabulary term it begins once.
-
-    The vocabulary read is that of the prefixes alone, and a plan holds the terms: prefixes are meant to be selective."""
-    weights = Counter(query.terms)
-    if query.prefixes:
-        t = F.col("t")
-        begins = t.startswith(query.prefixes[0])
-        for p in query.prefixes[1:]:
-            begins = begins | t.startswith(p)
-        found = [r.t for r in docs.select(F.explode(tokens).alias("t")).filter(begins).distinct().orderBy("t").collect()]
-        for p in query.prefixes:
-            weights.update(w for w in found if w.startswith(p))
-    return dict(weights)
-
-
-def rank(docs: DataFrame, tokens: Column, query: str | Query, params: Bm25 | None = None, *, corpus: DataFrame | None = None, mask: Column | None = None, normalize=None) -> DataFrame:
-    """docs that answer the query, with `score`; a query of plain terms keeps documents without a match at score 0."""
+def rank(docs: DataFrame, tokens: Column, query: str | Query, params: Bm25 | None = None, *, corpus: DataFrame | None = None, mask: Column | None = None, normalize=None, key: str = "doc_id") -> DataFrame:
+    """docs that answer the query, with `score`; a query of plain terms keeps documents without a match at score 0.
+
+    A prefix scores as each vocabulary term that it begins, once: those terms are counted and joined as a table, whatever their number.
+    Only then is `key` used: it names a row."""
     q = query if isinstance(query, Query) else parse(query, normalize)
-    weights = expand(corpus if corpus is not None else docs, tokens, q)
-    hits = docs if q.simple else docs.filter(match(q.root, tokens))
-    return score_rows(hits, tokens, weights, params or Bm25(), mask=mask, corpus=corpus if corpus is not None else None if q.simple else docs)
+    hit = None if q.simple else lambda t: match(q.root, t)
+    if q.prefixes:
+        return _rank_prefixes(docs, tokens, q, params or Bm25(), corpus, mask, hit, key)
+    return score_rows(docs, tokens, dict(Counter(q.terms)), params or Bm25(), mask=mask, corpus=corpus, hit=hit)
+
+
+def _rank_prefixes(docs: DataFrame, tokens: Column, q: Query, params: Bm25, corpus: DataFrame | None, mask: Column | None, hit, key: str) -> DataFrame:
+    """Rows keep the (term, count) pairs that the query touches; document frequencies of these terms are a table that the pairs are joined to."""
+    plain = Counter(q.terms)
+    none = F.array().cast("array<string>")
+
+    def weight(t: Column) -> Column:
+        w = F.lit(0.0)
+        for x, n in plain.items():
+            w = w + F.when(t == x, float(n)).otherwise(0.0)
+        for p in q.prefixes:
+            w = w + F.when(t.startswith(p), 1.0).otherwise(0.0)
+        return w
+
+    def numbers(t: Column) -> Column:
+        return F.struct(F.size(t).cast("double").alias("_dl"), F.array_sort(F.filter(t, lambda x: weight(x) > 0)).alias("_mine"), (hit(t) if hit else F.lit(True)).alias("_hit"))
+
+    counted = lambda df: df.select("*", F.inline(F.transform(F.array(F.coalesce(tokens, none)), numbers)))
+    rows = counted(docs)
+    of = rows if corpus is None else counted(corpus)
+    stats = of.agg(F.count(F.lit(1)).cast("double").alias("_n"), F.coalesce(F.avg("_dl"), F.lit(0.0)).alias("_avgdl"))
+    idf = of.select(F.explode(F.array_distinct("_mine")).alias("_term")).groupBy("_term").agg(F.count(F.lit(1)).cast("double").alias("_df")).crossJoin(F.broadcast(stats))
+    idf = idf.select("_term", "_avgdl", (params.idf(F.col("_df"), F.col("_n")) * weight(F.col("_term"))).alias("_idf"))
+    pairs = rows.select(key, "_dl", F.explode("_mine").alias("_term")).groupBy(key, "_dl", "_term").agg(F.count(F.lit(1)).cast("double").alias("_tf"))
+    gain = pairs.join(idf, "_term").groupBy(key).agg(F.sum(F.col("_idf") * (params.tfc(F.col("_tf"), F.col("_dl"), F.col("_avgdl")) - params.missing())).alias("_gain"))
+    base = idf.agg(F.coalesce(F.sum("_idf"), F.lit(0.0)).alias("_base"))
+    out = rows.filter("_hit").join(gain, key, "left").crossJoin(F.broadcast(base))  # one row
+    got = F.coalesce("_gain", F.lit(0.0))
+    return out.withColumn("score", (got if mask is None else got * mask) + F.col("_base") * params.missing()).drop("_dl", "_mine", "_hit", "_gain", "_base")
 
 
 def top_k(scored: DataFrame, key: str, k: int, digits: int | None = None) -> DataFrame:
@@ -128,19 +171,27 @@ def top_k(scored: DataFrame, key: str, k: int, digits: int | None = None) -> Dat
 
 
 def batch_rank(docs: DataFrame, key: str, tokens: Column, queries: DataFrame, params: Bm25, k: int, digits: int = 6) -> DataFrame:
-    """queries (query_id, term): the k best documents of each, (query_id, key, score, rank).
+    """queries (query_id, term): the k best of the documents that hold a term of each, (query_id, key, score, rank).
 
     Postings of query terms alone are shuffled, after a map-side count; the per-query limit is applied before its exchange."""
-    from pyspark.sql import Window
-
-    wanted = queries.groupBy("query_id", "term").agg(F.count(F.lit(1)).cast("double").alias("w"))
     rows = docs.select(key, tokens.alias("_t")).withColumn("dl", F.size("_t").cast("double"))
     stats = rows.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl"))
-    terms = wanted.select("term").distinct()
+    terms = queries.select("term").distinct()
     tf = rows.select(key, "dl", F.explode("_t").alias("term")).join(terms, "term", "left_semi").groupBy(key, "dl", "term").agg(F.count(F.lit(1)).cast("double").alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
-    idf = df.join(F.broadcast(stats)).select("term", "avgdl", params.idf(F.col("df"), F.col("n")).alias("idf"))
+    return score_batch(tf, df.crossJoin(F.broadcast(stats)), key, queries, params, k, digits)  # one row of statistics
+
+
+def score_batch(tf: DataFrame, df: DataFrame, key: str, queries: DataFrame, params: Bm25, k: int, digits: int = 6) -> DataFrame:
+    """tf (key, term, tf, dl), df (term, df, n, avgdl), queries (query_id, term). A document's score has the base of its query's absent terms, too."""
+    from pyspark.sql import Window
+
+    wanted = queries.groupBy("query_id", "term").agg(F.count(F.lit(1)).cast("double").alias("w"))
+    idf = df.select("term", "avgdl", params.idf(F.col("df"), F.col("n")).alias("idf"))
     impact = tf.join(idf, "term").select(key, "term", (F.col("idf") * (params.tfc(F.col("tf"), F.col("dl"), F.col("avgdl")) - params.missing())).alias("impact"))
-    scored = impact.join(wanted, "term").groupBy("query_id", key).agg(F.round(F.sum(F.col("impact") * F.col("w")), digits).alias("score"))
+    scored = impact.join(wanted, "term").groupBy("query_id", key).agg(F.sum(F.col("impact") * F.col("w")).alias("score"))
+    if params.missing():
+        base = wanted.join(idf, "term").groupBy("query_id").agg((F.sum(F.col("idf") * F.col("w")) * params.missing()).alias("_base"))
+        scored = scored.join(base, "query_id").withColumn("score", F.col("score") + F.col("_base")).drop("_base")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col(key))
-    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return scored.withColumn("score", F.round("score", digits)).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)

@@ -6,12 +6,14 @@ Parsing happens on the driver; a query becomes a Column over a token array, and
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.text import phrase_at
+from ..functions.text import TextPolicy, bind, normalize_tokens, normalizer, phrase_at, split_words, tokenize
 
 MAX_TOKENS, MAX_DEPTH = 1024, 128
 
@@ -165,7 +167,12 @@ def _boolean(text: str, tokens: list, leaf) -> Query:
             raise QueryError("a term is missing")
         value = r.tokens[r.at][1]
         r.at += 1
-        r.depth += 1
+        if kind in ("term", "prefix", "phrase"):
+            x = leaf(kind, value)
+            if x is not None:
+                r.seen.append(x)
+            return x
+        r.depth += 1  # of parentheses and signs; a leaf is no level
         if r.depth > MAX_DEPTH:
             raise QueryError("nested too deeply")
         try:
@@ -176,15 +183,10 @@ def _boolean(text: str, tokens: list, leaf) -> Query:
                 x = one()
                 del r.seen[kept:]
                 return None if x is None else Op("not", (x,))
-            if kind == "(":
-                x = any_of()
-                if r.peek() != ")":
-                    raise QueryError("a parenthesis is not closed")
-                r.at += 1
-                return x
-            x = leaf(kind, value)
-            if x is not None:
-                r.seen.append(x)
+            x = any_of()
+            if r.peek() != ")":
+                raise QueryError("a parenthesis is not closed")
+            r.at += 1
             return x
         finally:
             r.depth -= 1
@@ -199,21 +201,87 @@ def _boolean(text: str, tokens: list, leaf) -> Query:
     return Query(root, tuple(r.seen), root is None or ors(root), text)
 
 
-def match(root: Leaf | Op | None, tokens: Column) -> Column:
-    """Whether a token array satisfies the query."""
+def leaves_of(root: Leaf | Op | None) -> list[Leaf]:
+    """All leaves, those under a NOT included, each once."""
+    if root is None:
+        return []
+    if isinstance(root, Leaf):
+        return [root]
+    return list(dict.fromkeys(x for p in root.parts for x in leaves_of(p)))
+
+
+def truth(root: Leaf | Op | None, of: Callable[[Leaf], Column]) -> Column:
+    """The query as a Column over what `of` says of each leaf."""
     if root is None:
         return F.lit(False)
-    if isinstance(root, Op):
-        parts = [match(p, tokens) for p in root.parts]
-        if root.kind == "not":
-            return ~parts[0]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out & p if root.kind == "and" else out | p
-        return out
-    if root.kind == "prefix":
-        return F.exists(tokens, lambda t: t.startswith(root.words[0]))
-    found = F.array_contains(tokens, root.words[0])
-    for w in root.words[1:]:
-        found = found & F.array_contains(tokens, w)
-    return found & (F.size(phrase_at(tokens, list(root.words))) > 0) if root.kind == "phrase" else found
+    if isinstance(root, Leaf):
+        return of(root)
+    parts = [truth(p, of) for p in root.parts]
+    return ~parts[0] if root.kind == "not" else reduce(Column.__and__ if root.kind == "and" else Column.__or__, parts)
+
+
+def holds_of_nothing(root: Leaf | Op | None) -> bool:
+    """Whether rows that no leaf matches answer the query."""
+    if root is None or isinstance(root, Leaf):
+        return False
+    parts = [holds_of_nothing(p) for p in root.parts]
+    return not parts[0] if root.kind == "not" else all(parts) if root.kind == "and" else any(parts)
+
+
+def match(root: Leaf | Op | None, tokens: Column) -> Column:
+    """Whether a token array satisfies the query; the tokens are computed once."""
+
+    def leaf(t: Column) -> Callable[[Leaf], Column]:
+        def one(x: Leaf) -> Column:
+            if x.kind == "prefix":
+                return F.exists(t, lambda w: w.startswith(x.words[0]))
+            if x.kind == "phrase":
+                return F.array_contains(t, x.words[0]) & (F.size(phrase_at(t, list(x.words))) > 0)
+            return F.array_contains(t, x.words[0])
+
+        return one
+
+    none = F.array().cast("array<string>")
+    return bind(F.coalesce(tokens, none), lambda t: truth(root, leaf(t)))
+
+
+@dataclass(frozen=True)
+class Prepared:
+    """A query with text options of its own; what is None is taken from the index's policy when it is resolved."""
+
+    text: str
+    lowercase: bool | None = None
+    stopwords: tuple[str, ...] | None = None
+    stem_english: bool | None = None
+    fold_diacritics: bool | None = None
+
+    def resolve(self, policy: TextPolicy | None = None) -> TextPolicy:
+        base = policy or TextPolicy()
+        own = {k: v for k in ("lowercase", "stopwords", "stem_english", "fold_diacritics") if (v := getattr(self, k)) is not None}
+        return replace(base, **own)
+
+    def parsed(self, policy: TextPolicy | None = None) -> Query:
+        return parse(self.text, normalizer(self.resolve(policy)))
+
+    def order_tokens(self, policy: TextPolicy | None = None) -> list[str]:
+        """The query's text as the tokens that rows are ordered by, no operator being read."""
+        clean = normalizer(self.resolve(policy))
+        return [t for w in split_words(self.text) for t in clean(w)]
+
+
+def match_query(df: DataFrame, column: str, query: str | Prepared, policy: TextPolicy | None = None) -> Column:
+    """Whether rows answer a query: a text column is tokenised by the query's resolved policy first, a token column is normalised by it."""
+    prepared = query if isinstance(query, Prepared) else None
+    kind = df.schema[column].dataType
+    if prepared is None:
+        if isinstance(kind, T.ArrayType):
+            return match(parse(query).root, F.col(column).cast("array<string>"))
+        prepared = Prepared(query)
+    own = prepared.resolve(policy)
+    if isinstance(kind, T.ArrayType):
+        tokens = normalize_tokens(F.col(column).cast("array<string>"), own)
+    elif isinstance(kind, T.StringType):
+        tokens = tokenize(F.col(column), own)
+    else:
+        raise QueryError("a query is matched against one text or token column")
+    return match(prepared.parsed(policy).root, tokens)

@@ -2,21 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-
-def latest(log: DataFrame, key: str, seq: str = "seq") -> DataFrame:
-    """The last change of each key; a hot key is reduced before the shuffle. Of changes with the same number one counts, the same in every run."""
+from pyspark.sql import types as T
+
+
+def sortable(df: DataFrame, order: str | None) -> Column:
+    """A whole number, time or text as text that sorts as it does; null, before all, where there is no order."""
+    if order is None:
+        return F.lit(None).cast("string")
+    c, kind = F.col(f"`{order}`"), df.schema[order].dataType
+    if isinstance(kind, T.StringType):
+        return c
+    if isinstance(kind, T.TimestampType):
+        c = F.unix_micros(c)
+    elif isinstance(kind, T.DateType):
+        c = F.unix_date(c)
+    elif not isinstance(kind, T.IntegralType):
+        raise ValueError("an order is by a whole number, a time or a text")
+    # the sign's bit turned over, digits of one length
+    return F.lpad(F.hex(c.cast("long").bitwiseXOR(F.lit(-(2**63)).cast("long"))), 16, "0")
+
+
+def latest(log: DataFrame, key: str, *seq: str) -> DataFrame:
+    """The last change of each key by the columns seq; a hot key is reduced before the shuffle. Of equal changes one counts, the same in every run."""
     rest = [c for c in log.columns if c != key]
-    return log.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(F.col(seq), F.xxhash64(*rest))).alias("_last")).select(key, "_last.*")
+    plain = [f"`{c}`" for c in rest if not isinstance(log.schema[c].dataType, T.MapType)]
+    by = F.struct(*(seq or ("seq",)), F.xxhash64(*plain))
+    return log.groupBy(key).agg(F.max_by(F.struct(*[f"`{c}`" for c in rest]), by).alias("_last")).select(key, "_last.*")
 
 
 def live(base: DataFrame, log: DataFrame, key: str, consistency: str = "realtime") -> DataFrame:
     """The rows that a reader sees: the base alone under manual consistency, else the base with the log applied."""
     if consistency == "manual":
         return base
-    last = latest(log, key)
+    last = latest(log, key, "seq")
     kept = base.join(last.select(key), key, "left_anti")
     new = last.filter("op = 'upsert'")
     return kept.unionByName(new.select(*[c for c in base.columns if c in new.columns]), allowMissingColumns=True).select(*base.columns)
@@ -27,13 +47,13 @@ def ingest(stream: DataFrame, to: str, checkpoint: str):
     return stream.writeStream.format("parquet").option("path", to).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
-def follow(stream: DataFrame, index, checkpoint: str, op: str = "op"):
-    """Append a stream of changes (the index's columns, and op: upsert or delete) to the log of an index, one number for each batch.
+def follow(stream: DataFrame, index, checkpoint: str, op: str = "op", order: str = "seq"):
+    """Commit a stream of changes (the index's columns, op: upsert or delete, and an order) to the log of an index, a batch in one commit.
 
-    A batch that is run again appends its rows again under a later number, which changes nothing: the last change of a key counts."""
+    In a batch the last change of a key by `order` counts, across batches the later batch. A commit names the checkpoint and the batch, so a
+    batch that is run again, as after a lost driver, is committed once."""
 
-    def append(batch: DataFrame, _: int) -> None:
-        index.upsert(batch.filter(F.col(op) == "upsert"))
-        index.delete(batch.filter(F.col(op) == "delete"))
+    def append(batch: DataFrame, number: int) -> None:
+        index.append(batch, op, order, (checkpoint, number))
 
     return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

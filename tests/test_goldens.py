@@ -9,6 +9,7 @@ from quillrank.operators import fields, filters, fusion
 from quillrank.operators.index import Index, policy_recommend
 from quillrank.operators.scoring import Bm25, rank, score_rows, top_k
 from quillrank.plans.querylang import QueryError, match, parse
+from quillrank.streaming import mutation
 
 TOKENS = [(0, ["cat", "cat", "feline"]), (1, ["dog", "friend"]), (2, ["cat", "bird", "bird"]), (3, [])]
 SENTENCES = [
@@ -156,12 +157,17 @@ def test_predicates(spark):
         assert {r.id for r in docs.filter(match(parse(q).root, F.col("tokens"))).collect()} == want, q
 
 
-@pytest.mark.parametrize("q", ['"open', '""', "*", "(cat", "cat)", "cat +", "-", "+ -cat", "NOT", "cat AND", "( )", " ".join(["x"] * 1025), "(" * 129 + "x" + ")" * 129])
+@pytest.mark.parametrize("q", ['"open', '""', "*", "(cat", "cat)", "cat +", "-", "+ -cat", "NOT", "cat AND", "( )", " ".join(["x"] * 1025), "(" * 129 + "x" + ")" * 129, "x AND " + "NOT " * 129 + "y"])
 def test_malformed(q):
     with pytest.raises(QueryError):
         parse(q)
 
 
+def test_nesting():
+    assert parse("(" * 128 + "x" + ")" * 128).terms == ["x"]
+    assert parse("x AND " + "NOT " * 128 + "y").terms == ["x"]
+
+
 def test_lexing():
     assert parse("and or not").terms == ["and", "or", "not"]  # only upper case is an operator
     assert parse('foo"bar').terms == ['foo"bar']
@@ -212,9 +218,8 @@ def test_highlights(spark):
     seven = F.array(*[F.lit(w) for w in "one two cat bird three four five".split()])
     phrase = [["cat", "bird"]]
     assert one(spark, tx.snippet(F.concat(F.array(F.lit("zero")), seven), [], [], phrase, 4, "<mark>", "</mark>")) == "... one two <mark>cat</mark> <mark>bird</mark> ..."
-    assert tx.plain_terms("Cats AND (dogs) -foo_bar") == "cats and dogs foo bar"
-    with pytest.raises(ValueError):
-        tx.plain_terms(" ... ")
+    assert one(spark, tx.plain_terms(F.lit("Cats AND (dogs) -foo_bar"))) == "cats and dogs foo bar"
+    assert one(spark, tx.plain_terms(F.lit(" ... "))) is None
 
 
 # ---- fusion
@@ -327,6 +332,89 @@ def test_changes(spark, tmp_path):
         index.drop()
 
 
+def test_a_late_commit_is_not_lost(spark, tmp_path):
+    rows = lambda *x: spark.createDataFrame(list(x), "id long, text string")
+    mine = Index.build(spark, str(tmp_path / "late"), rows((0, "old words"), (1, "more words")), "id", "text")
+    other = Index.open(spark, mine.path)
+    mine.upsert(rows((1, "beta words")))
+    # another writer has written its rows, commits them only after the fold
+    create, held = other.store.create, []
+    other.store.create = lambda name, body: held.append((name, body)) or True
+    other.upsert(rows((0, "alpha words")))
+    mine.maintain()
+    other.store.create = create
+    (_, body), = held
+    assert not other.store.create("_commits/000000000001.json", body)  # that number is taken: the writer takes the next
+    other.upsert(rows((0, "alpha words")))
+    assert mine.pending() == 1
+    assert [r.id for r in Index.open(spark, mine.path).query("+alpha", 3).collect()] == [0]
+    mine.maintain()
+    assert [r.id for r in mine.query("+alpha", 3).collect()] == [0] and [r.id for r in mine.query("+beta", 3).collect()] == [1]
+    fresh = mine.refresh(rows((0, "gamma"), (5, "delta")))
+    other.upsert(rows((7, "gamma late")))
+    assert sorted(r.id for r in fresh.query("+gamma", 3).collect()) == [0, 7]
+
+
+def test_concurrent_writers_have_a_number_each(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    index = Index.build(spark, str(tmp_path / "many"), spark.createDataFrame([(0, "start")], "id long, text string"), "id", "text")
+    with ThreadPoolExecutor(6) as pool:
+        numbers = list(pool.map(lambda i: Index.open(spark, index.path).upsert(spark.createDataFrame([(i, f"word{i}")], "id long, text string")), range(1, 9)))
+    assert sorted(numbers) == list(range(1, 9)) and index.pending() == 8
+    assert index.maintain()["acted"] and index.manifest["docs"] == 9
+    with pytest.raises(OSError, match="published already"):
+        Index(spark, index.path, index.manifest | {"generation": 1})._next(index.table("docs").drop("_dl"), ["text"], 8, {})
+
+
+def test_a_batch_keeps_its_own_order(spark, tmp_path):
+    index = Index.build(spark, str(tmp_path / "s"), spark.createDataFrame([(0, "old"), (1, "old")], "id long, text string"), "id", "text")
+    changes = spark.createDataFrame([(0, "delete", None, 5), (0, "upsert", "new words", 6), (1, "upsert", "new words", 5), (1, "delete", None, 10), (2, "upsert", "nine", 9), (2, "upsert", "ten", 10), (3, "upsert", "below", -1), (3, "upsert", "above", 0)], "id long, op string, text string, seq long")
+    changes.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(changes.schema).parquet(str(tmp_path / "in"))
+    mutation.follow(stream, index, str(tmp_path / "cp")).awaitTermination()
+    assert sorted((r.id, r.text) for r in index.query("whatever", 9).collect()) == [(0, "new words"), (2, "ten"), (3, "above")]
+    assert index.append(changes, "op", "seq", (str(tmp_path / "cp"), 0)) == 0 and len(index._commits()) == 1  # the batch again
+    index.maintain()
+    assert index.append(changes, "op", "seq", (str(tmp_path / "cp"), 0)) == 0 and index.pending() == 0
+
+
+def test_reclaim_waits_for_readers(spark, tmp_path):
+    index = Index.build(spark, str(tmp_path / "r"), spark.createDataFrame([(0, "one two")], "id long, text string"), "id", "text")
+    reader = Index.open(spark, index.path, pin=True)
+    index.upsert(spark.createDataFrame([(1, "one")], "id long, text string"))
+    assert index.try_maintain()["acted"] and index.reclaim() == 0
+    assert sorted(r.id for r in reader.query("+one", 3).collect()) == [0, 1]
+    reader.close()
+    assert index.reclaim() == 1 and index.store.names("log") == [] and len(index.store.names("_commits")) == 1
+    assert index.upsert(spark.createDataFrame([(2, "one")], "id long, text string")) == 2  # numbers go on
+    assert index.lock("maintain") and index.try_maintain()["reason"] == "locked"
+    index.unlock("maintain")
+    assert index.audit().count() == 0 and index.maintain_due()["reason"] == "not_due"
+
+
+def test_expression_partial_and_scope(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"Alpha w{i % 3}", ["x", "y"][i % 2], [str(i % 3), "z"]) for i in range(12)], "id long, text string, kind string, tags array<string>")
+    index = Index.build(spark, str(tmp_path / "e"), docs, "id", expression="concat_ws(' ', text, kind)", where="id <> 4", scope=["kind", "tags"])
+    assert [r.id for r in index.query('+"w1 x"', 9).collect()] == [10]
+    index.upsert(spark.createDataFrame([(4, "Alpha w1", "x", None), (2, "Alpha w1", "x", ["q"]), (20, "Alpha w1", "x", ["1"])], docs.schema))
+    assert [r.id for r in index.query('+"w1 x"', 9).collect()] == [2, 10, 20]
+    for spec in ({"kind": {"eq": "x"}}, {"tags": {"overlap": ["1", "9"]}, "kind": {"in": ["x", "y"]}}, {"id": {"range": {"gte": 3}}}, {"kind": {"eq": "nope"}}):
+        want = sorted(r.id for r in index._view().rows.filter(filters.predicate(docs, spec)).collect())
+        assert sorted(r.id for r in index.members(spec).collect()) == want
+        assert sorted(r.id for r in index.query("alpha", 50, filters=spec).collect()) == want
+    with pytest.raises(ValueError, match="needs sae"):
+        Index.build(spark, str(tmp_path / "o"), docs, "id", "text", options={"model": "m"})
+    with pytest.raises(ValueError, match="no option"):
+        Index.build(spark, str(tmp_path / "o"), docs, "id", "text", options={"wrong": 1})
+
+
+def test_index_queries_read_few_rows_of_docs(spark, sentences, tmp_path):
+    index = Index.build(spark, str(tmp_path / "p"), sentences.drop("tokens"), "doc_id", "text")
+    plan = index.query("blue bird", 2)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(doc_id" in plan and "postings" not in plan
+
+
 def test_hot_upserts_take_the_last(spark, tmp_path):
     index = Index.build(spark, str(tmp_path / "u"), spark.createDataFrame(SENTENCES, "id long, text string"), "id", "text")
     for word in ("alpha", "beta", "gamma"):
