@@ -1,20 +1,20 @@
 """Main text of web pages by a site style tree.
 
-Pages of a host are merged into one tree of presentation nodes: the path of tags, classes and ids that a text block stands in.
-For each presentation node, the contents seen under it give an entropy, normalised by the number of pages that have it; a
-node that most of the host's pages share with the same contents has importance near 0, and its branch is removed
-from every page of the host. Pages of a host with equal texts count once, so a group of copies says nothing about what its host
-repeats; and a node that holds most of the text of the pages it stands on is never removed, so near copies keep their text too.
-Statistics are sums over (host, node, content) and so never gather a host in one task.
+The DOMs of a host's pages are merged into one tree: a presentation node is a block element by its path of tags, classes and ids, whatever
+page it stands on, inner elements included. Of each, two entropies are taken over the pages that have it, normalised by that of as many
+different pages: of the sequences of child elements, which is how the node is presented, and of the texts below it. Together they are its
+importance; the branch of a node that is on many of the host's pages with little of either is removed from each. Pages of a host with
+equal texts count once, so a group of copies says nothing about what its host repeats; a node that holds most of the text of the pages
+it stands on is never removed, and neither is a heading, so near copies keep their text too. Statistics are sums over (host, node,
+sequence, text) and so never gather a host in one task; what they find meets the pages by host and a salt, so no host is hot.
 
-What the markup itself declares is decided first: scripts, styles, menus, headers, footers, sidebars, forms, adverts, notices and
-reader comments go, by element, role, and class or id words; and text inside an article or main element is the
-article's and is not open to removal by statistics, so copies of an article on one host stay. Statistics decide on the pages without such an element.
-Class and id words and form elements say nothing against an element that holds the page's article or most of its text; inside an
+What the markup itself declares is decided before: scripts, styles, menus, headers, footers, sidebars, forms, adverts, notices and
+reader comments go, by element, role, and class or id words, as contents of one page alone tell nothing of its host; and where a page
+has an article or main element, the tree is that of what it holds. Class and id words and form elements say nothing against an element that holds the page's article or most of its text; inside an
 article, words that prose is classed by too (more, side, legal) count only where most of the element's text is links.
 
 A null or empty page gives an empty text; a page whose url has no host belongs to the host ''; repeated rows each
-give their text; an empty table gives no rows; other columns are ignored.
+give their text; blocks with equal texts on one page all stay; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 from .common import map_batches, rows_of, staged, table
 from .htmltree import BLOCK, Node, scan
 
-MIN_PAGES, MIN_SHARE, IMPORTANCE = 5, 0.3, 0.3
+MIN_PAGES, MIN_SHARE, IMPORTANCE, PRESENTATION, SALT = 5, 0.3, 0.3, 0.1, 16
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
 _DROP = set("script style noscript template nav footer aside form button select textarea iframe object svg canvas title head menu dialog noembed noframes datalist audio video map input label fieldset search".split())
 _WORD = r"(?:^|[-_\s])(?:%s)(?:$|[-_\s])"
 _BOILER = re.compile(
@@ -50,6 +51,7 @@ _READERS = re.compile(_WORD % "comments?|commentlist|disqus|respond", re.I)
 #: Words of states, which tell what stands elsewhere; attribute values; the attribute hidden.
 _STATE = re.compile(r"(?<!\S)(?:with|has|without)[-_]\S+", re.I)
 _VALUE = re.compile(r"=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+)")
+_NUMBERS = re.compile(r"\d+")
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)", re.I)
 
 
@@ -152,23 +154,26 @@ def _dropped(events: list[tuple[str, Node | None, str]]) -> set[int]:
     return out
 
 
-def blocks(page: str | None) -> list[tuple[str, int, bool]]:
-    """Text blocks that markup leaves: (text, hash of the presentation path, whether an article or main element holds it)."""
-    out: list[tuple[str, int, bool]] = []
+def blocks(page: str | None) -> tuple[list[tuple[str, tuple[int, ...], bool]], dict[int, list[str]]]:
+    """What markup leaves: text blocks (text, presentation nodes from the outermost, whether an article or main element holds it), and of each node its sequences of children."""
+    out: list[tuple[str, tuple[int, ...], bool]] = []
+    styles: dict[int, list[str]] = {}
     parts: list[str] = []
     dropped = 0
     main = 0
     events = list(scan(page or ""))
     goes = _dropped(events)
-    state: dict[int, tuple[bool, bool]] = {}
+    state: dict[int, tuple[bool, bool, bool]] = {}
     path: list[str] = []
+    chain: list[int] = []
+    children: list[list[str]] = [[]]
 
     def flush() -> None:
         if parts:
             text = " ".join("".join(parts).split())
             parts.clear()
             if text:
-                out.append((text, xxhash.xxh64_intdigest("/".join(path)) >> 1, main > 0))
+                out.append((text, tuple(chain), main > 0))
 
     for kind, node, text in events:
         if kind == "text":
@@ -185,21 +190,33 @@ def blocks(page: str | None) -> list[tuple[str, int, bool]]:
             drop = dropped > 0 or id(node) in goes
             if node.name in BLOCK or drop and not dropped:
                 flush()
-            state[id(node)] = (drop, is_main and not drop)
+            counts = not drop and node.name in BLOCK and node.name not in ("html", "body") and not (_HEADINGS & {node.name})
+            state[id(node)] = (drop, is_main and not drop, counts)
             dropped += drop
             if not drop:
                 main += is_main
-                path.append(f"{node.name}.{node.get('class')}#{node.get('id')}" if node.attrs else node.name)
+                own = f"{node.name}.{node.get('class')}#{_NUMBERS.sub('0', node.get('id'))}" if node.attrs else node.name
+                if children[-1][-1:] != [own]:  # a run of like elements is one
+                    children[-1].append(own)
+                path.append(own)
+                children.append([])
+                if counts:
+                    chain.append(xxhash.xxh64_intdigest("/".join(path)) >> 1)
         else:
-            drop, is_main = state.pop(id(node))
+            drop, is_main, counts = state.pop(id(node))
             if node.name in BLOCK and not dropped:
                 flush()
             dropped -= drop
             if not drop:
                 main -= is_main
                 path.pop()
+                own = children.pop()
+                if counts:
+                    styles.setdefault(chain.pop(), []).append(" ".join(own))
     flush()
-    return out
+    if any(m for _, _, m in out):
+        out = [x for x in out if x[2]]
+    return out, styles
 
 
 def host_of(url: str = "url") -> Column:
@@ -208,44 +225,44 @@ def host_of(url: str = "url") -> Column:
 
 
 def style_tree(spark: SparkSession, pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, importance: float = IMPORTANCE) -> DataFrame:
-    """(host, low): the unimportant presentation nodes of each host, for the pages without an article or main element."""
+    """(host, low): the unimportant presentation nodes of each host."""
 
     def make():
         def run(batch: pa.RecordBatch) -> dict:
-            hosts, wholes, nodes, contents, chars, totals = [], [], [], [], [], []
+            names = ("host", "whole", "node", "style", "content", "chars", "total")
+            rows: dict[str, list] = {k: [] for k in names}
             for host, page in zip(rows_of(batch, "host"), rows_of(batch, "html"), strict=True):
-                found = blocks(page)
-                whole = xxhash.xxh64_intdigest("\n".join(f"{node} {text}" for text, node, _ in found)) >> 1
-                if any(m for _, _, m in found):
-                    found = []
+                found, styles = blocks(page)
+                whole = xxhash.xxh64_intdigest("\n".join(text for text, _, _ in found)) >> 1
                 total = sum(len(text) for text, _, _ in found)
                 own: dict[int, list[str]] = {}
-                for text, node, _ in found:
-                    own.setdefault(node, []).append(text)
+                for text, chain, _ in found:
+                    for node in dict.fromkeys(chain):
+                        own.setdefault(node, []).append(text)
                 for node, texts in [(0, []), *own.items()]:  # node 0 counts the host's pages
-                    hosts.append(host)
-                    wholes.append(whole)
-                    nodes.append(node)
-                    contents.append(xxhash.xxh64_intdigest("\n".join(texts)) >> 1)
-                    chars.append(sum(map(len, texts)))
-                    totals.append(total)
-            return {"host": hosts, "whole": wholes, "node": nodes, "content": contents, "chars": chars, "total": totals}
+                    style = xxhash.xxh64_intdigest("\n".join(dict.fromkeys(styles.get(node, ())))) >> 1
+                    for k, v in zip(names, (host, whole, node, style, xxhash.xxh64_intdigest("\n".join(texts)) >> 1, sum(map(len, texts)), total), strict=True):
+                        rows[k].append(v)
+            return rows
 
         return run
 
-    found = map_batches(pages.select(host_of().alias("host"), "html"), make, "host string, whole long, node long, content long, chars long, total long")
-    once = found.distinct()  # copies agree in every column
-    seen = once.groupBy("host", "node", "content").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"), F.sum("total").alias("total"))
-    nodes = seen.groupBy("host", "node").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log2("n")).alias("s"), F.sum("chars").alias("chars"), F.sum("total").alias("total"))
+    found = map_batches(pages.select(host_of().alias("host"), "html"), make, "host string, whole long, node long, style long, content long, chars long, total long")
+    once = found.groupBy("host", "whole", "node").agg(F.min("style").alias("style"), F.min("content").alias("content"), F.min("chars").alias("chars"), F.min("total").alias("total"))
+    seen = staged(spark, once.groupBy("host", "node", "style", "content").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"), F.sum("total").alias("total")), "sst-seen")
+    spread = lambda by: seen.groupBy("host", "node", by).agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.sum("total").alias("total"))
+    surprise = F.sum(F.col("n") * F.log2("n"))
+    nodes = spread("content").groupBy("host", "node").agg(F.sum("n").alias("pages"), surprise.alias("s"), F.sum("chars").alias("chars"), F.sum("total").alias("total"))
+    nodes = nodes.join(spread("style").groupBy("host", "node").agg(surprise.alias("t")), ["host", "node"])
     nodes = staged(spark, nodes, "sst-nodes")
     per_host = nodes.filter("node = 0").select("host", F.col("pages").alias("host_pages"))
     # entropy of the contents, normalised by that of as many different pages
-    entropy = F.log2("pages") - F.col("s") / F.col("pages")
+    entropy = lambda s: (F.log2("pages") - F.col(s) / F.col("pages")) / F.log2("pages")
     low = (
         nodes.filter((F.col("node") != 0) & (F.col("pages") >= min_pages))
         .join(per_host, "host")
         .filter(2 * F.col("chars") <= F.col("total"))
-        .filter((F.col("pages") >= min_share * F.col("host_pages")) & (entropy / F.log2("pages") < importance))
+        .filter((F.col("pages") >= min_share * F.col("host_pages")) & (PRESENTATION * entropy("t") + (1 - PRESENTATION) * entropy("s") < importance))
     )
     return staged(spark, low.groupBy("host").agg(F.sort_array(F.collect_set("node")).alias("low")), "sst-low")
 
@@ -253,24 +270,22 @@ def style_tree(spark: SparkSession, pages: DataFrame, min_pages: int = MIN_PAGES
 def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
     low = style_tree(spark, pages)
-    base = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of().alias("host"))
+    salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALT)).alias("salt")
+    base = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of().alias("host"), salt)
 
     def make():
         def run(batch: pa.RecordBatch) -> dict:
             texts = []
             for page, rules in zip(rows_of(batch, "html"), rows_of(batch, "low"), strict=True):
-                found = blocks(page)
-                if any(m for _, _, m in found):
-                    found = [x for x in found if x[2]]
-                elif rules:
-                    bad = set(rules)
-                    found = [x for x in found if x[1] not in bad]
-                texts.append("\n".join(x[0] for x in found))
+                found, _ = blocks(page)
+                bad = set(rules or ())
+                texts.append("\n".join(x[0] for x in found if bad.isdisjoint(x[1])))
             return {"page_id": batch.column(0), "url": batch.column(1), "text": texts, "n_chars": np.array(list(map(len, texts)), np.int64)}
 
         return run
 
-    joined = base.join(low, "host", "left").select("page_id", "url", "html", "low")
+    rules = low.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
+    joined = base.join(rules, ["host", "salt"], "left").select("page_id", "url", "html", "low")
     return map_batches(joined, make, "page_id long, url string, text string, n_chars long")
 
 

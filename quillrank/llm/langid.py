@@ -5,12 +5,14 @@ discounts per order and continuation counts below the highest order. All models
 hashes per order, and one of contexts, with a column per language, so a text's n-grams are looked up once for all
 languages; in a batch each distinct n-gram is scored once. The language with the lowest cross-entropy per character
 wins; `score` is its share in a softmax over the cross-entropies. A text is rejected when it has no letters, or when its best
-cross-entropy lies more than `reject_sd` deviations above the mean of the training texts, with 6 / sqrt(characters)
-allowed on top, so that short texts stay.
-
-Fitting takes at most about `per_lang` documents of each language (`lang` is a column of few values), drawn by a hash of doc_id among those of up to
-`fit_chars` characters; scoring covers every whole text. Null or letterless texts give `und` with score 0; a null lang
-is not learned; repeated rows score alike; an empty table, or one without labels, gives `und` for every row.
+cross-entropy lies more than `reject_sd` deviations above the mean of its language, with 6 / sqrt(characters) allowed on top, so that short
+texts stay. Mean and deviation are those of texts that the models they are scored by have not seen: a fifth of the drawn ones,
+scored by models of the rest (of all languages together where a language has few).
+
+Fitting takes about `per_lang` different texts of each language (`lang` is a column of few values), drawn by a hash of doc_id and text; of a text
+beyond `fit_chars` characters pieces from its beginning to its end are learned. Scoring covers every whole text. Null or letterless texts
+give `und` with score 0; a null lang is not learned; of languages with equal cross-entropy the first by name wins; repeated rows score
+alike; other columns are ignored, or passed through untouched under any name; an empty table, or one without labels, gives `und` for every row.
 """
 
 from __future__ import annotations
@@ -21,10 +23,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import id_crc32, map_batches, rows_of, seeded, table
+from .common import excerpt, id_crc32, map_batches, rows_of, seeded, table
 
-ORDER, PER_LANG, FIT_CHARS, REJECT_SD = 4, 1200, 20_000, 8.0
+ORDER, PER_LANG, FIT_CHARS, REJECT_SD, CALIBRATE = 4, 1200, 20_000, 8.0, 5
 _K, _SPACE = np.uint64(0x9E3779B97F4A7C15), 32
 
 
@@ -60,7 +63,7 @@ def _hashes(codes: np.ndarray, order: int) -> list[np.ndarray]:
 class Models:
     """Models of several languages in shared sorted hash arrays."""
 
-    def __init__(self, texts: dict[str, list[str]], order: int = ORDER, reject_sd: float = REJECT_SD) -> None:
+    def __init__(self, texts: dict[str, list[str]], order: int = ORDER, reject_sd: float | None = REJECT_SD) -> None:
         self.order = order
         self.langs = sorted(texts)
         n = len(self.langs)
@@ -94,12 +97,20 @@ class Models:
                 for j, (key, v) in enumerate(parts):
                     values[np.searchsorted(keys, key), j] = v
                 to.append((keys, values))
-        self.reject_at = np.inf
-        if n:
-            every = [t for lang in self.langs for t in texts[lang]]
-            best = np.array([x[2] for x in self.classify(every) if x[0] != "und"])
-            if len(best):
-                self.reject_at = float(best.mean() + reject_sd * max(best.std(), 0.02))
+        self.reject_at = np.full(n, np.inf)
+        if n and reject_sd is not None:
+            self._calibrate(texts, reject_sd)
+
+    def _calibrate(self, texts: dict[str, list[str]], reject_sd: float) -> None:
+        """Thresholds of rejection from every CALIBRATE-th text, by models of the others."""
+        kept = {lang: [t for i, t in enumerate(own) if i % CALIBRATE] or own for lang, own in texts.items()}
+        other = Models(kept, self.order, None)
+        held = {lang: [h for _, _, h, _ in other.classify(own[::CALIBRATE]) if h > 0] for lang, own in texts.items()}
+        every = [h for own in held.values() for h in own]
+        for j, lang in enumerate(self.langs):
+            own = np.array(held[lang] if len(held[lang]) >= 20 else every)
+            if len(own):
+                self.reject_at[j] = own.mean() + reject_sd * max(own.std(), 0.05)
 
     def _log_p(self, h: list[np.ndarray], at: np.ndarray) -> np.ndarray:
         """log P of the last of the `order` characters from each position on, by language."""
@@ -145,7 +156,7 @@ class Models:
         share = 1 / np.exp((mean - mean.max(1, keepdims=True)) * heat).sum(1)
         for k, (i, _) in enumerate(held):
             h_best = -float(mean[k, best[k]])
-            out[i] = (self.langs[best[k]], float(share[k]), h_best, h_best > self.reject_at + 6 / n[k] ** 0.5)
+            out[i] = (self.langs[best[k]], float(share[k]), h_best, bool(h_best > self.reject_at[best[k]] + 6 / n[k] ** 0.5))
 
 
 def fit(docs: DataFrame, per_lang: int = PER_LANG, fit_chars: int = FIT_CHARS) -> Models:
@@ -155,10 +166,11 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG, fit_chars: int = FIT_CHARS) -
     if not counts:
         return Models({})
     rate = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, per_lang / n)])
-    drawn = rows.filter((seeded("langid", "doc_id") < F.element_at(rate, F.col("lang"))) & (F.length("text") <= fit_chars))
+    drawn = rows.filter(seeded("langid", "doc_id", "text") < F.element_at(rate, F.col("lang")))
+    # repeated rows fall alike under the hash: each text counts once
     texts: dict[str, list[str]] = {}
-    for r in drawn.select("lang", "doc_id", "text").orderBy("doc_id", "text").collect():
-        texts.setdefault(r.lang, []).append(r.text)
+    for lang, text in sorted((r.lang, r.text) for r in drawn.select("lang", excerpt(F.col("text"), fit_chars).alias("text")).distinct().collect()):
+        texts.setdefault(lang, []).append(text)
     return Models(texts)
 
 
@@ -177,8 +189,8 @@ def identify(docs: DataFrame, models: Models, keep: list[Column] | None = None)
         return run
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (id_crc32() % 5 == 0).alias("held_out"), F.col("text").alias("_text")) if keep is None else docs.select(*keep, F.col("text").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.drop("_text").schema)
-    return map_batches(base, make, f"{schema}, lang_pred string, score double, cross_entropy double, rejected boolean")
+    more = T._parse_datatype_string("lang_pred string, score double, cross_entropy double, rejected boolean")
+    return map_batches(base, make, T.StructType([*base.drop("_text").schema.fields, *more.fields]))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ losslessly as 8-bit grey PNG images, 64 samples a row, and features are computed
 
 A reference whose digest is unknown keeps its place with null media columns; a null payload counts as empty; empty payloads
 are one row of zeros; equal payloads are stored once per batch and resolve alike; repeated rows stay; an empty
-table gives no rows; other columns are ignored.
+table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,11 +19,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import map_batches, rows_of, staged, table
+from .common import map_batches, mark, release, rows_of, staged, table
 from .htmltree import BLOCK, scan
 
-WIDTH, SCHEME, LEVEL = 64, "digest:", 1
+WIDTH, SCHEME, LEVEL, SALT = 64, "digest:", 1, 16
 ITEM = "array<struct<position:int,kind:string,text:string,digest:string,caption:string>>"
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
@@ -83,47 +84,59 @@ def feature_of(payload: bytes) -> str:
 
 
 def sequence_of(page: str | None) -> list[tuple[int, str, str | None, str | None, str | None]]:
-    """(position, kind, text, digest, caption) in page order; a figure's caption goes to its references."""
+    """(position, kind, text, digest, caption) in page order; a figure's caption, wherever in it and of however many blocks, goes to all its references."""
     items: list[list] = []
     parts: list[str] = []
-    figure: list[list] | None = None
+    figures: list[tuple[list[list], list[str]]] = []  # references and caption of the figures that are open
     captioning = 0
 
     def flush() -> None:
         text = " ".join("".join(parts).split())
         parts.clear()
-        if text and captioning and figure:
-            for x in figure:
-                x[4] = text
+        if text and captioning and figures:
+            figures[-1][1].append(text)
         elif text:
             items.append([0, "text", text, None, None])
 
+    def shut() -> None:
+        references, caption = figures.pop()
+        text = "\n".join(caption)
+        if text and not references:  # nothing to belong to: text like any other
+            items.append([0, "text", text, None, None])
+        for x in references if text else ():
+            x[4] = text
+
     for kind, node, text in scan(page or ""):
         if kind == "text":
             if not any(n.name in ("script", "style", "title") for n in [node] if n is not None):
                 parts.append(text)
             continue
-        if node.name in BLOCK:
+        if node.name in BLOCK or node.name == "br" and captioning:
             flush()
-        if kind == "open" and node.name == "figure":
-            figure = []
-        elif kind == "close" and node.name == "figure":
-            figure = None
+        elif node.name == "br":
+            parts.append(" ")
+        if node.name == "figure":
+            if kind == "open":
+                figures.append(([], []))
+            elif kind == "close" and figures:
+                shut()
         elif node.name == "figcaption":
-            captioning = int(kind == "open")
+            captioning += 1 if kind == "open" else -1 if kind == "close" else 0
         if kind != "close" and node.name in ("img", "video", "audio", "source") and (src := node.get("src")):
             flush()
             digest = src.removeprefix(SCHEME) if src.startswith(SCHEME) else hashlib.sha256(src.encode("utf-8", "surrogatepass")).hexdigest()
             items.append([0, "media", None, digest, node.get("alt") or None])
-            if figure is not None:
-                figure.append(items[-1])
+            if figures:
+                figures[-1][0].append(items[-1])
     flush()
+    while figures:
+        shut()
     return [(i, *x[1:]) for i, x in enumerate(items)]
 
 
 def interleave(pages: DataFrame, key: str, page: str) -> DataFrame:
     """(key, position, kind, text, digest, caption): the sequence of each page, a row per item."""
-    kind = pages.schema[key].dataType.simpleString()
+    kind = T.StructType([T.StructField("key", pages.schema[key].dataType), *T._parse_datatype_string(f"items {ITEM}").fields])
 
     def make():
         def run(batch: pa.RecordBatch) -> dict:
@@ -132,13 +145,14 @@ def interleave(pages: DataFrame, key: str, page: str) -> DataFrame:
 
         return run
 
-    out = map_batches(pages.select(F.col(key).alias("key"), F.col(page).alias("page")), make, f"key {kind}, items {ITEM}")
+    out = map_batches(pages.select(F.col(key).alias("key"), F.col(page).alias("page")), make, kind)
     return out.select(F.col("key").alias(key), F.inline("items"))
 
 
-def resolve(items: DataFrame, media: DataFrame) -> DataFrame:
-    """Items with the media table's columns by digest; media has one row per digest."""
-    return items.join(media, "digest", "left")
+def resolve(items: DataFrame, media: DataFrame, by: str, salt: int = SALT) -> DataFrame:
+    """Items with the media table's columns by digest; media has one row per digest. A digest that many items name is spread by a hash of the column `by`."""
+    spread = media.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salt - 1).cast("long"))))
+    return items.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salt))).join(spread, ["digest", "_salt"], "left").drop("_salt")
 
 
 def store(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -177,19 +191,23 @@ def describe(media: DataFrame) -> DataFrame:
 
 
 def op6_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text is the payload of a figure, captioned by its length, between a heading and a second reference to it: the figure's row is the answer."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    since = mark()
     described = staged(spark, describe(staged(spark, store(docs), "media")), "media-described")
+    release(spark, since, keep=1)
 
     def make():
         def run(batch: pa.RecordBatch) -> dict:
             pages = []
             for t in rows_of(batch, "text"):
                 payload, n = payload_of(t)
-                pages.append(f'<figure><img src="{SCHEME}{hashlib.sha256(payload).hexdigest()}"><figcaption>{n}</figcaption></figure>')
+                src = f"{SCHEME}{hashlib.sha256(payload).hexdigest()}"
+                pages.append(f'<h1>Payload</h1><figure><figcaption>{n}</figcaption><img src="{src}"></figure><p>See also <img src="{src}"></p>')
             return {"doc_id": batch.column(0), "page": pages}
 
         return run
 
     pages = map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, "doc_id long, page string")
-    items = interleave(pages, "doc_id", "page")
-    return resolve(items, described).select("doc_id", F.col("caption").cast("long").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    items = interleave(pages, "doc_id", "page").filter("kind = 'media' AND caption IS NOT NULL AND position = 1")
+    return resolve(items, described, "doc_id").select("doc_id", F.col("caption").cast("long").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")

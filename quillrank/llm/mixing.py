@@ -4,15 +4,16 @@ The mix is as large as the corpus. Sources, by code point with null last, weigh
 target stops at `max_repeats` times its size and the excess goes to the others by weight (water filling, in closed
 form over the sources sorted by size to weight). Blocks of `block` words are seats: the highest quotients
 target / (2k - 1) give each source whole blocks, then in the same way each coarse shard of the source, then each
-fine shard of about `shard_rows` documents. In a shard documents stand in seeded hash order and the shard's words
-are taken from the front, all of them again for each full pass.
+fine shard of about `shard_rows` documents. In a shard documents stand in seeded hash order, as one ring of blocks; the shard's blocks
+are those from a seeded one on, all of them again for each full pass, so that few documents are cut.
 
 An exact apportionment needs no full list of quotients: rounding each of n shares moves the sum of seats by n / 2 at
 most, so the divisor lies within n / (2 * seats) of total / seats, and only quotients in that band (about 4 n
 of them) are ranked. No window holds more than the sources, the square root of a source's shards, or one shard.
 
-Null text has no words; null source is a source of its own, sorted last; repeated rows count each; an empty table
-gives no rows; other columns pass through `keep`.
+The order is by a hash of doc_id and text, so rows without an id are dealt like others. Rows equal in both are one entry with a count, however
+many they are, and are told apart last. Null text has no words; null source is a source of its own, sorted last; repeated rows count
+each; of equal quotients the smaller key wins; an empty table gives no rows; other columns pass through `keep`, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, staged, table
 
-BLOCK, SHARD_ROWS, MAX_REPEATS, SEED, WEIGHTS = 32, 256, 3, "mix", 3
+BLOCK, SHARD_ROWS, MAX_REPEATS, SEED, WEIGHTS, COPIES = 32, 256, 3, "mix", 3, 4096
 
 
 def word_count(text: Column) -> Column:
@@ -83,7 +84,7 @@ def keyed(docs: DataFrame, doc_id: str, text: str, source: str, seed: str) -> Da
         {
             "_source": F.col(source).cast("string"),
             "_size": word_count(F.col(text)),
-            "_h": F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null")))),
+            "_h": F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.lit(":"), F.md5(F.coalesce(F.col(text), F.lit(""))))),
         }
     )
 
@@ -91,13 +92,11 @@ def keyed(docs: DataFrame, doc_id: str, text: str, source: str, seed: str) -> Da
 def mix(spark: SparkSession, docs: DataFrame, keep: list[str], *, doc_id: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK, shard_rows: int = SHARD_ROWS, max_repeats: int = MAX_REPEATS, seed: str = SEED) -> DataFrame:
     """The kept columns of every document with size, source_size, target and taken."""
     rows = keyed(docs, doc_id, text, source, seed)
-    narrow = {doc_id, "_source", "_size", "_h"}
-    if set(keep) <= narrow:
-        rows = base = staged(spark, rows.select(doc_id, "_source", "_size", "_h"), "mix-rows")
-    else:
-        base = staged(spark, rows.select("_source", "_size", "_h"), "mix-rows")
-        rows = rows.select(*keep, "_source", "_size", "_h")
-    sizes = base.groupBy(F.col("_source").alias("source")).agg(F.sum("_size").alias("source_size"), F.count(F.lit(1)).alias("n"))
+    narrow = set(keep) <= {doc_id}
+    same = [*([doc_id] if narrow else []), "_source", "_size", "_h"]
+    # rows equal in all of these are one entry with a count
+    base = staged(spark, rows.groupBy(*same).agg(F.count(F.lit(1)).alias("_m")), "mix-rows")
+    sizes = base.groupBy(F.col("_source").alias("source")).agg(F.sum(F.col("_size") * F.col("_m")).alias("source_size"), F.sum("_m").alias("n"))
     fine = F.ceil(F.col("n") / F.lit(shard_rows))
     sources = (
         targets(sizes, max_repeats)
@@ -111,27 +110,36 @@ def mix(spark: SparkSession, docs: DataFrame, keep: list[str], *, doc_id: str =
     placed = lambda df: (
         df.withColumn("_key", F.coalesce(F.concat(F.lit("s"), "_source"), F.lit("n"))).join(plan, "_key").withColumns({"_c": part(1, "coarse"), "_f": part(9, "fine")})
     )
-    shards = staged(spark, placed(base).groupBy("_key", "_c", "_f", "blocks").agg(F.sum("_size").alias("words")), "mix-shards")
+    shards = staged(spark, placed(base).groupBy("_key", "_c", "_f", "blocks").agg(F.sum(F.col("_size") * F.col("_m")).alias("words")), "mix-shards")
     coarse = apportion(shards.groupBy("_key", "_c", "blocks").agg(F.sum("words").alias("words")), "words", "blocks", "_c", ["_key"], "quota")
     renamed = coarse.select(F.col("_key").alias("k"), F.col("_c").alias("c"), "quota")
     inner = shards.select(F.col("_key").alias("k"), F.col("_c").alias("c"), F.col("_f").alias("f"), "words").join(renamed, ["k", "c"])
     inner = apportion(inner, "words", "quota", "f", ["k", "c"], "own").withColumn("out", F.least(F.col("own") * block, F.col("words") * max_repeats))
     inner = staged(spark, inner.select(F.col("k").alias("_key"), F.col("c").alias("_c"), F.col("f").alias("_f"), "words", "out"), "mix-quotas")
     order = Window.partitionBy("_key", "_c", "_f").orderBy("_h", "_size").rowsBetween(Window.unboundedPreceding, -1)
-    passes = F.when(F.col("words") > 0, F.floor(F.col("out") / F.col("words"))).otherwise(0).cast("long")
-    return (
-        placed(rows)
+    seat = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "_key", F.col("_c").cast("string"), F.col("_f").cast("string"))), 1, 8), 16, 10).cast("long")
+    spans = (
+        placed(base)
         .join(inner, ["_key", "_c", "_f"])
-        .withColumn("_before", F.coalesce(F.sum("_size").over(order), F.lit(0)))
-        .withColumn("_left", F.col("out") - passes * F.col("words") - F.col("_before"))
-        .select(
-            *keep,
-            F.col("_size").alias("size"),
-            "source_size",
-            "target",
-            (passes * F.col("_size") + F.greatest(F.lit(0), F.least(F.col("_size"), F.col("_left")))).cast("long").alias("taken"),
-        )
+        .withColumn("_before", F.coalesce(F.sum(F.col("_size") * F.col("_m")).over(order), F.lit(0)))
+        .withColumn("_passes", F.when(F.col("words") > 0, F.floor(F.col("out") / F.col("words"))).otherwise(0).cast("long"))
+        .withColumn("_long", F.col("out") - F.col("_passes") * F.col("words"))
+        .withColumn("_start", F.lit(block) * (seat % F.greatest(F.lit(1), F.floor(F.col("words") / block))))
+        .select(*same, "_m", "source_size", "target", "words", "_before", "_passes", "_long", "_start")
     )
+    if narrow:  # nothing else tells equal rows apart: they are made from their count, a bounded array at a time
+        pieces = spans.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.floor((F.col("_m") - 1) / COPIES))))
+        last = F.least(F.col("_m"), (F.col("_piece") + 1) * COPIES) - 1
+        each = pieces.withColumn("_j", F.explode(F.sequence(F.col("_piece") * COPIES, last)))
+    else:
+        spans = staged(spark, spans, "mix-spans")
+        mine = rows.select(*[F.col(c) for c in keep], F.col("_source").alias("_s"), F.col("_size").alias("_z"), F.col("_h").alias("_g"))
+        each = mine.join(spans, (F.col("_g") == F.col("_h")) & F.col("_s").eqNullSafe(F.col("_source")) & (F.col("_z") == F.col("_size")))
+        each = each.withColumn("_j", F.row_number().over(Window.partitionBy("_g", "_s", "_z").orderBy(F.lit(0))) - 1)
+    at, end = F.col("_at"), F.col("_at") + F.col("_size")
+    far = F.col("_start") + F.col("_long")  # where the shard's blocks end, beyond its last word if they go round
+    part = F.greatest(F.lit(0), F.least(end, far) - F.greatest(at, F.col("_start"))) + F.greatest(F.lit(0), F.least(end, far - F.col("words")) - at)
+    return each.withColumn("_at", F.col("_before") + F.col("_j") * F.col("_size")).select(*[F.col(c) for c in keep], F.col("_size").alias("size"), "source_size", "target", (F.col("_passes") * F.col("_size") + part).cast("long").alias("taken"))
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,7 +163,7 @@ def _seats(inner: str, weight: str, seats: str, key: str, group: str, cols: str,
 ORACLE = f"""
 WITH base AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
-         md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null')) AS h FROM documents),
+         md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))) AS h FROM documents),
 sizes AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n FROM base GROUP BY source),
 weighed AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {WEIGHTS} + 1 AS weight FROM sizes),
 filled AS (
@@ -179,7 +187,9 @@ fq AS {_seats("(SELECT key, c, f, words, quota FROM shards JOIN cq USING (key, c
 quotas AS (SELECT key, c, f, words, least(own * {BLOCK}, words * {MAX_REPEATS}) AS out FROM fq),
 taking AS (
   SELECT placed.*, words, out, CASE WHEN words > 0 THEN out // words ELSE 0 END AS passes,
-    coalesce(sum(size) OVER (PARTITION BY key, c, f ORDER BY h, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-  FROM placed JOIN quotas USING (key, c, f))
-SELECT doc_id, size, source_size, target, (passes * size + greatest(0, least(size, out - passes * words - before)))::BIGINT AS taken FROM taking
+    {BLOCK} * (('0x' || substr(md5('{SEED}:' || key || ':' || c || ':' || f), 1, 8))::BIGINT % greatest(1, words // {BLOCK})) AS start,
+    coalesce(sum(size) OVER (PARTITION BY key, c, f ORDER BY h, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS began
+  FROM placed JOIN quotas USING (key, c, f)),
+ring AS (SELECT *, start + out - passes * words AS far FROM taking)
+SELECT doc_id, size, source_size, target, (passes * size + greatest(0, least(began + size, far) - greatest(began, start)) + greatest(0, least(began + size, far - words) - began))::BIGINT AS taken FROM ring
 """

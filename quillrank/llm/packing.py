@@ -3,14 +3,15 @@
 A document of n tokens gives n // size whole sequences and one shorter piece; the cut depends on the document alone, so
 tokenization is one narrow pass and tokens are never stored. The histogram of piece lengths (at most `size` rows) is
 packed on the driver: lengths longest first, each into the open packing pattern with the most room, updating pattern
-counts, so the work depends on the number of lengths, not of documents. Pieces of a length are ranked by counting
-(length, bucket) pairs and a window in each pair; the rank finds the pattern, the sequence and the offset.
+counts, so the work depends on the number of lengths, not of documents. Pieces of a length are numbered by the task that cuts them and, by
+the counts of (length, task), across tasks: no rows are sorted, however many have one length. The rank finds the pattern, the sequence
+and the offset.
 
 Tokenization cuts a text at single spaces between other characters, where the pre-tokenizer always starts a token, and
 remembers the ids of up to CACHE such pieces. Ids are the tokenizer's own (a test holds them against it).
 
-A null or empty text is the end id alone; ties fall by doc_id and start; repeated rows are packed each; an empty
-table gives no rows; other columns are ignored.
+A null or empty text is the end id alone; pieces of one length stand in the order of the table; repeated rows are packed each; an empty
+table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,12 +26,13 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, rows_of, staged, table
+from .common import map_batches, rows_of, staged, starts, table
 
-SIZE, END_ID, BUCKETS, CACHE = 2048, 1, 64, 200_000
+SIZE, END_ID, CACHE = 2048, 1, 200_000
 PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
@@ -115,26 +117,28 @@ class Ids:
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per piece of every document."""
+    """One row per piece of every document, with its task and its place among the task's pieces of the same length."""
     end = np.asarray([end_id], "<u4").tobytes()
 
     def make():
-        ids = Ids(tokenizer)
+        ids, task, turns = Ids(tokenizer), TaskContext.get().partitionId(), Counter()
 
         def run(batch: pa.RecordBatch) -> dict:
-            out: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")}
+            out: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "_task", "_turn")}
             for key, raw in zip(rows_of(batch, "doc_id"), ids(rows_of(batch, "text")), strict=True):
                 raw += end
                 n = len(raw) // 4
                 for start in range(0, n, size):
                     piece = raw[4 * start : 4 * (start + size)]
-                    for k, v in (("doc_id", key), ("start", start), ("length", len(piece) // 4), ("ids_crc32", zlib.crc32(piece)), ("doc_tokens", n)):
+                    length = len(piece) // 4
+                    for k, v in (("doc_id", key), ("start", start), ("length", length), ("ids_crc32", zlib.crc32(piece)), ("doc_tokens", n), ("_task", task), ("_turn", turns[length])):
                         out[k].append(v)
+                    turns[length] += 1
             return out
 
         return run
 
-    return map_batches(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), make, PIECES)
+    return map_batches(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), make, f"{PIECES}, _task int, _turn long")
 
 
 def shortest_pack_first(histogram: dict[int, int], size: int = SIZE) -> list[tuple[int, tuple[int, ...]]]:
@@ -172,9 +176,9 @@ def shortest_pack_first(histogram: dict[int, int], size: int = SIZE) -> list[tup
 
 def pack(spark: SparkSession, docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Every piece with its sequence and offset."""
-    pieces = staged(spark, token_pieces(docs, tokenizer or default_tokenizer(), size, doc_id=doc_id, text=text).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(BUCKETS)).cast("int")), "pack-pieces")
-    counts = staged(spark, pieces.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n")), "pack-counts")
-    histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # size rows at most
+    pieces = staged(spark, token_pieces(docs, tokenizer or default_tokenizer(), size, doc_id=doc_id, text=text), "pack-pieces")
+    counts = staged(spark, starts(pieces, "length"), "pack-starts")
+    histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # size rows at most
     segments: dict[int, list[tuple[int, int, int]]] = {}  # of a length: first rank, first sequence, offset
     first, used = 0, Counter()
     for count, lengths in shortest_pack_first(histogram, size):
@@ -185,10 +189,8 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str | None = None, siz
             offset += length
         first += count
     lookup = {k: tuple(np.asarray(x, np.int64) for x in zip(*v, strict=True)) for k, v in segments.items()}
-    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = staged(spark, counts.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")), "pack-starts")
-    own = Window.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32")
-    ranked = pieces.withColumn("turn", F.row_number().over(own) - 1).join(starts, ["length", "bucket"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("first") + F.col("turn")).cast("long").alias("rank"))
+    rank = (F.col("_first") + F.col("_turn")).cast("long").alias("rank")
+    ranked = pieces.join(counts, ["length", "_task"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", rank)
 
     def make():
         def run(batch: pa.RecordBatch) -> dict:

@@ -5,11 +5,11 @@ average of its features' vectors, and a softmax layer gives the two classes, tra
 gradient descent. A pair's hash is the difference of its words' hashes, so all immediate repetitions share a vector.
 For scoring, vectors times output weights collapse to one number per bucket, and a document needs one gather.
 
-Learned from the labelled rows whose fold is not held out, at most about `fit_rows` of them by a hash of doc_id, texts up
-to `fit_chars` characters, from which `fit_features` features each are drawn by a seeded generator in every epoch; every whole text is
-scored. A null or empty text has no features and gets the classes' prior; a null label is ignored; a doc_id labelled
-twice counts as good if any label says so; repeated rows score alike; an empty table gives no rows; without labels of both
-kinds every score is the prior.
+Learned from the labelled ids whose fold is not held out, at most about `fit_rows` of them by a hash of doc_id, one text of each; of a text
+beyond `fit_chars` characters pieces from its beginning to its end are learned, and `FIT_FEATURES` features of each text are drawn by a seeded
+generator in every epoch. Every whole text is scored. A null or empty text has no features and gets the classes' prior; a null label is
+ignored; a doc_id labelled twice counts as good if any label says so; a score at the threshold is good; repeated rows score alike;
+other columns are ignored, whatever their names; an empty table gives no rows; without labels of both kinds every score is the prior.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import id_crc32, map_batches, rows_of, table
 from .toxicity import labelled
 
-BUCKETS, DIM, NGRAMS, FIT_ROWS, FIT_CHARS, FIT_FEATURES, EPOCHS, RATE, THRESHOLD = 1 << 17, 8, (2, 3, 4), 6_000, 50_000, 1024, 6, 0.5, 0.5
+BUCKETS, DIM, NGRAMS, FIT_ROWS, FIT_CHARS, FIT_FEATURES, EPOCHS, RATE, THRESHOLD = 1 << 17, 8, (2, 3, 4), 6_000, 16_000, 1024, 6, 0.5, 0.5
 _K, _P = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -47,7 +47,6 @@ def features(text: str | None) -> np.ndarray:
     edge = np.diff(np.concatenate(([1], space, [1])).astype(np.int8))
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     if len(start):
-        power = np.empty(len(raw), np.uint64)  # _P ** -i: words hash alike wherever they stand
         mixed = raw * _K
         mixed = (mixed ^ (mixed >> np.uint64(29))) * _P
         # a word's hash: its mixed characters weighted by their place in it

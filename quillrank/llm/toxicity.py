@@ -7,10 +7,12 @@ by Chernoff's bound over all candidates), so that more labels admit rarer words;
 (`trash can`) are entries of the same automaton that cancel the matches they cover. The score is a logistic function of
 the matched weight, the weight per word, and the number of distinct entries, fitted on the same rows as the lexicon.
 
-Lexicon and logistic are learned from the labelled rows whose fold is not held out, at most about `fit_rows` of them by
-a hash of doc_id, texts up to `fit_chars` characters; every whole text is scored. A null or empty text scores as one without
-matches; a null label is ignored; a doc_id labelled twice counts as toxic if any label says so; repeated rows score alike; an
-empty table gives no rows; without labels the built-in words are the lexicon.
+Lexicon and logistic are learned from the labelled ids whose fold is not held out, at most about `fit_rows` of them by
+a hash of doc_id, one text of each; of a text beyond `fit_chars` characters pieces from its beginning to its end are learned. Every whole
+text is scored. A null or empty text scores as one without matches; a null label is ignored; a doc_id labelled twice counts as toxic
+if any label says so; of entries that are equally heavy at one place the longer counts, then the first by code point; repeated rows score
+alike; other columns are ignored, or passed through untouched under any name; an empty table gives no rows; without labels the built-in
+words are the lexicon.
 """
 
 from __future__ import annotations
@@ -23,10 +25,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import id_crc32, map_batches, rows_of, seeded, table
+from .common import excerpt, id_crc32, map_batches, rows_of, seeded, table
 
-FIT_ROWS, FIT_CHARS, THRESHOLD, PREFIX, SUPPORT, CHANCE = 10_000, 50_000, 0.3, (3, 9), 4, 1e-8
+FIT_ROWS, FIT_CHARS, THRESHOLD, PREFIX, SUPPORT, CHANCE = 10_000, 16_000, 0.3, (3, 9), 4, 1e-8
 EXCEPTIONS = ("trash can", "trash cans", "trash bin", "clown fish")
 #: Known whatever the labels hold, at a weight of its own.
 BUILT_IN = ("idiot", "moron", "scum", "loser", "stupid", "pathetic", "worthless", "disgusting")
@@ -70,31 +73,39 @@ class Lexicon:
         self.beta = beta or [-4.0, 0.5, 0.5, 0.5]
         self.automaton = ahocorasick.Automaton()
         for k, w in weights.items():
-            self.automaton.add_word(k, (len(k), w, k.startswith(" ") and not k.endswith(" ")))
+            self.automaton.add_word(k, (k, w))
         for phrase in exceptions:
-            self.automaton.add_word(f" {fold(phrase).strip()} ", (len(phrase) + 2, 0.0, False))
+            folded = f" {' '.join(fold(phrase).split())} "
+            self.automaton.add_word(folded, (folded, 0.0))
         self.weights = weights
         if len(self.automaton):
             self.automaton.make_automaton()
 
     def features(self, text: str | None) -> list[float]:
         body = fold(text)
-        best: dict[int, float] = {}
-        except_: list[tuple[int, int]] = []
+        best: dict[int, tuple[float, str]] = {}  # by where an entry begins; at its end the longer ones come first
+        covered: list[tuple[int, int]] = []
         if len(self.automaton):
-            for end, (size, w, _) in self.automaton.iter(body):
-                start = end - size + 1
+            for end, (entry, w) in self.automaton.iter(body):
+                start = end - len(entry) + 1
                 if w == 0.0:
-                    except_.append((start, end))
-                elif w > best.get(start, 0.0):
-                    best[start] = w
-        if except_:
-            best = {s: w for s, w in best.items() if not any(a <= s < b for a, b in except_)}
+                    covered.append((start, end))
+                elif start not in best or (w, len(entry)) > (best[start][0], len(best[start][1])):
+                    best[start] = (w, entry)
+        if covered and best:
+            reach, last = {}, -1  # exceptions may overlap: the last end of those that begin up to a place
+            for s, e in sorted(covered):
+                last = max(last, e)
+                reach[s] = last
+            starts_at, ends = np.array(list(reach)), np.array(list(reach.values()))
+            at = np.array(list(best))
+            i = np.searchsorted(starts_at, at, "right") - 1
+            best = {s: best[s] for s, k in zip(at.tolist(), i.tolist(), strict=True) if k < 0 or ends[k] <= s}
         if not best:
             return [1.0, 0.0, 0.0, 0.0]
-        total = sum(best.values())
+        total = sum(w for w, _ in best.values())
         words = max(1, len(body.split()))
-        kinds = {body[s + 1 : s + 7] for s in best}
+        kinds = {entry for _, entry in best.values()}
         return [1.0, float(np.log1p(total)), float(np.sqrt(100 * total / words)), float(np.log1p(len(kinds)))]
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -148,14 +159,16 @@ def learn(texts: list[str], toxic: list[int], exceptions: tuple[str, ...] = EXCE
 
 
 def labelled(docs: DataFrame, labels: DataFrame, what: str, folds: int, held: int, fit_rows: int, fit_chars: int) -> tuple[list[str], list[int]]:
-    """Texts and labels of a bounded sample of the rows that are not held out."""
+    """Texts and labels of a bounded sample of the labelled ids that are not held out, one text of each id."""
     rows = labels.filter(F.col(what).isNotNull() & F.col("doc_id").isNotNull() & (id_crc32() % folds != held)).groupBy("doc_id").agg(F.max(what).alias("y"))
     n = rows.count()
     if not n:
         return [], []
-    drawn = rows.filter(seeded(what, "doc_id") < fit_rows / n)  # about fit_rows at most: small enough to broadcast
-    short = docs.filter(F.col("text").isNotNull() & (F.length("text") <= fit_chars)).select("doc_id", "text")
-    got = sorted((r.doc_id, r.text, int(r.y)) for r in short.join(F.broadcast(drawn), "doc_id").collect())
+    # the hash draws on both sides before they meet
+    mine = seeded(what, "doc_id") < fit_rows / n
+    texts = docs.filter(mine & F.col("text").isNotNull()).select("doc_id", excerpt(F.col("text"), fit_chars).alias("text"))
+    one = texts.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    got = sorted((r.doc_id, r.text, int(r.y)) for r in one.join(rows.filter(mine), "doc_id").collect())
     return [t for _, t, _ in got], [y for _, _, y in got]
 
 
@@ -178,8 +191,8 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, keep: list[Column] | None
         return run
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (id_crc32() % 4 == 2).alias("held_out"), F.col("text").alias("_text")) if keep is None else docs.select(*keep, F.col("text").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.drop("_text").schema)
-    return map_batches(base, make, f"{schema}, score double, predicted int")
+    more = T._parse_datatype_string("score double, predicted int")
+    return map_batches(base, make, T.StructType([*base.drop("_text").schema.fields, *more.fields]))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

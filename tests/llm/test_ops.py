@@ -43,6 +43,23 @@ def test_apportion_is_sainte_lague(spark):
         assert got == {i: want.get(i, 0) for i in range(len(w))}
 
 
+def test_mix_deals_rows_without_ids_and_repeated_rows(spark):
+    df = spark.createDataFrame([(None, f"words {i} " * (1 + i % 9), "s") for i in range(2000)] + [(1, "same text here", "s")] * 9000, "doc_id long, text string, source string")
+    keyed = mixing.keyed(df.filter("doc_id IS NULL"), "doc_id", "text", "source", "mix")
+    assert keyed.select("_h").distinct().count() > 1000  # null ids do not share a place
+    got = mixing.mix(spark, df, ["doc_id"]).toPandas()
+    assert len(got) == 11_000 and (got.taken >= 0).all() and (got.taken <= 3 * got["size"]).all()
+    assert abs(got.taken.sum() - got.target.iloc[0]) <= 32 * 2
+    wide = mixing.mix(spark, df.withColumn("x", df.text), ["doc_id", "x"]).toPandas()
+    assert Counter(zip(wide["size"], wide.taken, strict=True)) == Counter(zip(got["size"], got.taken, strict=True))
+
+
+@real
+def test_mix_is_near_its_targets(spark):
+    got = mixing.op2_mix_sources(spark, DATA).groupBy("source_size", "target").sum("taken").collect()
+    assert len(got) > 2 and all(abs(r["sum(taken)"] - r.target) <= 0.01 * r.target + 64 for r in got)
+
+
 def test_mix_empty(spark, empty):
     assert mixing.mix(spark, empty, ["doc_id"]).count() == 0
 
@@ -63,6 +80,29 @@ def test_shards(spark, docs):
         assert sorted(slots) == list(range(len(slots)))
 
 
+def test_shards_are_balanced_at_every_number_of_levels(spark):
+    from quillrank.llm.common import staged
+
+    rng = np.random.default_rng(13)
+    groups = staged(spark, spark.createDataFrame([(f"g{i}", int(b)) for i, b in enumerate(rng.integers(1, 100_000, 6000))], "gid string, bytes long"), "test-groups")
+    size = {r.gid: r.bytes for r in groups.collect()}
+    for chunk_rows, top, spread in ((256, 4096, 200), (256, 4, 200), (8, 20, 50_000)):  # chunks of eight have little to choose from
+        got = sharding.shard_groups(spark, groups, 8, chunk_rows, top).collect()
+        assert sorted(r.gid for r in got) == sorted(size)
+        sums = Counter()
+        for r in got:
+            sums[r.shard] += size[r.gid]
+        assert set(sums) == set(range(8)) and max(sums.values()) - min(sums.values()) <= spread, (chunk_rows, sums)
+
+
+@real
+def test_shards_of_real_documents(spark):
+    got = sharding.op4_shard_balance(spark, DATA).groupBy("shard").sum("size").collect()
+    sums = [r["sum(size)"] for r in got]
+    assert len(sums) == 8 and max(sums) - min(sums) <= 0.0001 * sum(sums)
+    assert sharding.op4_shard_balance(spark, DATA).filter("law != 'bytes' OR grown_shard IS NOT NULL").count() == 0
+
+
 def test_karmarkar_karp_is_tight():
     rng = np.random.default_rng(1)
     sizes = rng.integers(1, 10_000, 2000).tolist()
@@ -122,6 +162,17 @@ def test_shortest_pack_first():
     assert sum(n for n, _ in packs) * 2048 < 1.1 * sum(k * v for k, v in histogram.items())
 
 
+def test_pieces_of_one_length_are_numbered_without_a_hot_task(spark):
+    docs = spark.range(300).selectExpr("if(id % 3 = 0, null, 5) AS doc_id", "repeat('word ', 2047) AS text").repartition(6)
+    pieces = packing.token_pieces(docs, packing.default_tokenizer(), 64).collect()
+    by = Counter((r.length, r._task) for r in pieces)
+    assert max(by.values()) <= max(Counter(r._task for r in pieces).values()) < len(pieces) / 3  # no task holds a length
+    got = packing.pack(spark, docs, size=64).toPandas()
+    assert len(got) == len(pieces) and len(got[["sequence_id", "offset"]].drop_duplicates()) == len(got)
+    full = got[got.length == 64]
+    assert full.sequence_id.nunique() == len(full)
+
+
 def test_pack_empty(spark, empty):
     assert packing.pack(spark, empty).count() == 0
 
@@ -213,7 +264,7 @@ def test_top_k(spark):
     vectors += [(1000, None), (1020, [1.0, None]), (1040, [float("nan")] * 8), (1060, [float("inf")] * 8), (1080, [0.5, 0.25]), (None, [1.0] * 8)]
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
     ok = mtree.valid_vectors(df)
-    got = [(r.query_id, r.rank, r.vec_id, r.score) for r in mtree.top_k(spark, ok, ok.filter("vec_id % 20 = 0"), tree_rows=100, query_rows=9).collect()]
+    got = [(r.query_id, r.rank, r.vec_id, r.score) for r in mtree.top_k(spark, ok, ok.filter("vec_id % 20 = 0"), tree_rows=100, query_rows=9, units=20).collect()]
     x = {i: np.floor(64 * np.array(v)).astype(int).tolist() for i, v in vectors[:700]} | {1080: [32, 16]}
     want = []
     for q in (i for i in x if i % 20 == 0):
@@ -222,14 +273,49 @@ def test_top_k(spark):
     assert sorted(got) == sorted(want)
 
 
+def test_scores_are_exact_at_any_magnitude(spark):
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(60, 5)) * 10.0 ** rng.integers(0, 7, (60, 1))
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(base)], "vec_id long, embedding array<double>")
+    ok = mtree.valid_vectors(df)
+    got = [(r.query_id, r.rank, r.vec_id, r.score) for r in mtree.top_k(spark, ok, ok.filter("vec_id % 20 = 0"), k=5, units=3).collect()]
+    x = [[int(np.floor(64 * c)) for c in v] for v in base]
+    want = []
+    for q in (0, 20, 40):
+        best = sorted((-sum(a * b for a, b in zip(x[q], x[c], strict=True)), c) for c in range(60) if c != q)[:5]
+        want += [(q, r + 1, c, -s) for r, (s, c) in enumerate(best)]
+    assert sorted(got) == sorted(want)
+    a, b = np.floor(rng.normal(size=(7, 5)) * 2.0**29), np.floor(rng.normal(size=(9, 5)) * 10.0 ** rng.integers(0, 10, (9, 1)))
+    assert mtree.dot(a, b).tolist() == [[sum(int(p) * int(q) for p, q in zip(r, c, strict=True)) for c in b] for r in a]
+    assert mtree.dot(np.array([[2.0**40, 2.0**40]]), np.array([[2.0**40, -(2.0**40) + 2**10]])).tolist() == [[2**50]]  # what is large may cancel out
+    with pytest.raises(OverflowError):
+        mtree.dot(np.full((1, 2), 2.0**40), np.full((1, 2), 2.0**40))
+
+
+@real
+def test_search_of_real_embeddings():
+    """Exact, and never much more than all pairs: these vectors have no clusters for the bounds to use."""
+    v = duckdb.sql(f"SELECT embedding FROM '{DATA}/embeddings.parquet' ORDER BY vec_id").fetchall()
+    x = mtree.quantize([r[0] for r in v])
+    q = np.arange(0, len(x), 20)
+    for leaf in (16, 512):
+        tree, best = mtree.Tree(np.arange(len(x)), x, leaf, 4), mtree.nothing(len(q), 20)
+        computed = tree.search(x[q], q, best, 4)
+        assert computed < 1.5 * len(q) * len(x)
+        for i, at in enumerate(q):
+            want = sorted((-s, j) for j, s in enumerate((x @ x[at]).astype(int).tolist()) if j != at)[:20]
+            assert list(zip((-best[0][i]).tolist(), best[1][i].tolist(), strict=True)) == want
+
+
 def test_tree_skips():
     rng = np.random.default_rng(8)
     centers = rng.normal(size=(16, 12)) * 3
     x = np.floor(64 * np.concatenate([c + 0.05 * rng.normal(size=(128, 12)) for c in centers]))
-    tree = mtree.Tree(np.arange(len(x)), x)
+    tree = mtree.Tree(np.arange(len(x)), x, 32, 4)
+    assert not tree.leaf[0] and sum(tree.leaf) < len(tree.leaf) - 5  # more than one level of routing nodes
     best = mtree.nothing(16, 20)
-    computed = tree.search(x[::128], np.arange(len(x))[::128], best, 20)
-    assert computed < 0.5 * 16 * len(x)
+    computed = tree.search(x[::128], np.arange(len(x))[::128], best, 1)
+    assert computed < 0.2 * 16 * len(x)
     for i, q in enumerate(range(0, len(x), 128)):
         s = (x @ x[q]).astype(int)
         want = sorted((-s[j], j) for j in range(len(x)) if j != q)[:20]
@@ -267,6 +353,34 @@ def test_extract(spark):
     assert extraction.extract(spark, pages_of(spark).limit(0)).count() == 0
 
 
+def test_style_tree_is_brute_force(spark):
+    """The importance of every node of a host against counts made one by one."""
+    import math
+
+    page = "<html><body><article><h1>{0}</h1><div class='intro'><p>{1}</p></div><p>{2}</p><div class='end'><p>{3}</p></div></article></body></html>"
+    got = [(i, "http://tree.example/x", page.format(f"Title {i % 4}", "Welcome to our site" if i % 7 else f"Odd {i}", f"Body of page {i} " + "and so on " * 9, f"End {i}")) for i in range(40)]
+    low = {r.host: set(r.low) for r in extraction.style_tree(spark, spark.createDataFrame(got, "page_id long, url string, html string")).collect()}
+    seen = defaultdict(list)
+    for _, _, html in got:
+        found, styles = extraction.blocks(html)
+        for node in {n for _, chain, _ in found for n in chain}:
+            texts = [t for t, chain, _ in found if node in chain]
+            seen[node].append(("\n".join(styles[node]), "\n".join(texts), sum(map(len, texts)), sum(len(t) for t, _, _ in found)))
+    want = set()
+    for node, rows_ in seen.items():
+        h = [-sum(c / len(rows_) * math.log2(c / len(rows_)) for c in Counter(r[k] for r in rows_).values()) / math.log2(len(rows_)) for k in (0, 1)]
+        if len(rows_) >= 12 and 2 * sum(r[2] for r in rows_) <= sum(r[3] for r in rows_) and 0.1 * h[0] + 0.9 * h[1] < 0.3:
+            want.add(node)
+    assert low == {"tree.example": want} and want
+    text = {r.page_id: r.text for r in extraction.extract(spark, spark.createDataFrame(got, "page_id long, url string, html string")).collect()}
+    assert text[5].split("\n") == ["Title 1", "Body of page 5 " + " ".join(["and so on"] * 9), "End 5"]  # a branch of the article that the host repeats goes
+
+
+def test_what_prose_is_classed_by_stays():
+    for page in ("<article><p title='a hidden gem'>One</p></article>", "<article><p class='read-more'>One</p></article>", "<article><div class='post tags print'><p>One</p></div></article>", "<div><p>One</p></div><article></article>"):
+        assert [x[0] for x in extraction.blocks(page)[0]] == ["One"], page
+
+
 def test_extract_keeps_copies_without_article(spark):
     page = "<html><body><div class='x'>Our site is great</div><div id='b'><p>{}</p></div><div class='y'>{}</div></body></html>"
     body = "The one text that all of these pages hold, a good deal longer than what stands around it."
@@ -282,8 +396,7 @@ def test_extract_keeps_copies_without_article(spark):
 
 def test_blocks_keep_what_holds_the_article():
     def kept(page):
-        found = extraction.blocks(page)
-        return [x[0] for x in found if x[2]] or [x[0] for x in found]
+        return [x[0] for x in extraction.blocks(page)[0]]
 
     art = "<article><p>The article itself.</p></article>"
     for wrap in ("<div class='content with-sidebar'>{}</div>", "<div id='page' class='has-header'>{}</div>", "<form action=/x>{}</form>", "<div class='a hidden b'>{}</div>", "<div class=more>{}</div>", "<fieldset role=form>{}</fieldset>"):
@@ -321,7 +434,36 @@ def test_sequences(spark):
     got = [(r.position, r.kind, r.text, r.digest, r.caption) for r in items.orderBy("id", "position").collect()]
     assert got == [(0, "text", "One", None, None), (1, "media", None, "aa", "Cap"), (2, "text", "Two", None, None), (3, "media", None, "bb", None)]
     known = spark.createDataFrame([("aa", 7)], "digest string, n int")
-    assert sorted((r.position, r.n) for r in media.resolve(items, known).collect()) == [(0, None), (1, 7), (2, None), (3, None)]
+    assert sorted((r.position, r.n) for r in media.resolve(items, known, "id").collect()) == [(0, None), (1, 7), (2, None), (3, None)]
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<figure><figcaption>Before</figcaption><img src="digest:a"></figure>', [("media", None, "a", "Before")]),
+        ('<figure><img src="digest:a"><figcaption><p>one</p><p>two</p></figcaption></figure>', [("media", None, "a", "one\ntwo")]),
+        ('<figure><img src="digest:a"><img src="digest:b"><figcaption>Both</figcaption></figure>tail', [("media", None, "a", "Both"), ("media", None, "b", "Both"), ("text", "tail", None, None)]),
+        ('<figure><p>in it</p><figure><img src="digest:a"><figcaption>inner</figcaption></figure><img src="digest:b"><figcaption>outer</figcaption></figure>', [("text", "in it", None, None), ("media", None, "a", "inner"), ("media", None, "b", "outer")]),
+        ("<figure><figcaption>Of nothing</figcaption></figure>a<br>b", [("text", "Of nothing", None, None), ("text", "a b", None, None)]),
+        ('<figcaption>No figure</figcaption><img src="digest:a" alt="x y">', [("text", "No figure", None, None), ("media", None, "a", "x y")]),
+        ('<figure><img src="digest:a"><figcaption>open', [("media", None, "a", "open")]),
+    ],
+)
+def test_captions(page, want):
+    got = media.sequence_of(page)
+    assert [x[0] for x in got] == list(range(len(want))) and [x[1:] for x in got] == want
+
+
+def test_many_references_to_one_payload(spark):
+    items = spark.range(2000).selectExpr("id", "if(id % 3 = 0, concat('d', id), 'hot') AS digest")
+    known = spark.createDataFrame([("hot", 1), ("d3", 2)], "digest string, n int")
+    got = Counter(r.n for r in media.resolve(items, known, "id").collect())
+    assert got == {1: 1333, 2: 1, None: 666}
+
+
+def test_media_empty(spark, empty, tmp_path):
+    empty.write.parquet(str(tmp_path / "documents.parquet"))
+    assert media.op6_media_sequences(spark, str(tmp_path)).count() == 0
 
 
 def test_media_query(spark, docs, tmp_path):
@@ -329,7 +471,11 @@ def test_media_query(spark, docs, tmp_path):
     got = media.op6_media_sequences(spark, str(tmp_path)).toPandas()
     text = {r[0]: (r[1] or "").encode() for r in rows()}
     assert len(got) == len(rows())
+    alike = defaultdict(set)
     for r in got.itertuples():
+        png = media.to_png(media.payload_of(text[r.doc_id].decode())[0])
+        assert (r.media_bytes, r.media_sha256, r.feature) == (len(png), hashlib.sha256(png).hexdigest(), media.feature_of(media.payload_of(text[r.doc_id].decode())[0]))
+        alike[text[r.doc_id]].add((r.media_sha256, r.feature))
         p = text[r.doc_id] + b"\0" * (-len(text[r.doc_id]) % 64 or (0 if text[r.doc_id] else 64))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(text[r.doc_id]), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
 
@@ -349,6 +495,123 @@ def test_held_out_accuracy(spark):
     assert np.mean([r.predicted == lab[r.doc_id].toxic for r in got]) > 0.93
 
 
+def test_languages_of_long_texts_and_foreign_ones(spark):
+    rng = np.random.default_rng(7)
+    words = {k: ["".join(rng.choice(list(a), rng.integers(2, 8))) for _ in range(300)] for k, a in (("xx", "abcdefgh"), ("yy", "ghijklmn"), ("zz", "opqrstuv"))}
+    text = lambda k, n: " ".join(rng.choice(words[k], n))
+    some = [(i, text("xx", 60), "xx") for i in range(120)] + [(200 + i, text("yy", 9000), "yy") for i in range(20)]
+    models = langid.fit(spark.createDataFrame(some, "doc_id long, text string, lang string"))
+    assert models.langs == ["xx", "yy"]
+    got = models.classify([text("xx", 80), text("yy", 80), text("zz", 80), text("xx", 5), "q"])
+    assert [x[0] for x in got[:2]] == ["xx", "yy"] and [x[3] for x in got[:4]] == [False, False, True, False]
+
+
+def test_language_scores_are_brute_force():
+    """Interpolated Kneser-Ney by dictionaries of strings, on a text's every character."""
+    import math
+
+    texts = {"x": ["abab abba baab", "abc ab"], "y": ["bcb cbc ccb", "ac cab"]}
+    m = langid.Models(texts, 3, None)
+
+    def model(docs, order=3):
+        padded = [" " * (order - 1) + t + " " for t in docs]
+        count = Counter(p[i : i + order] for p in padded for i in range(len(p) - order + 1))
+        # n-grams run over the joined texts as the model's do
+        joined = "".join(padded)
+        count = Counter(joined[i : i + order] for i in range(len(joined) - order + 1))
+        out = []
+        for k in range(order, 0, -1):
+            ones, twos = sum(c == 1 for c in count.values()), sum(c == 2 for c in count.values())
+            d = min(0.95, max(0.05, ones / (ones + 2 * twos)))
+            total, kinds = Counter(), Counter()
+            for g, c in count.items():
+                total[g[:-1]] += c
+                kinds[g[:-1]] += 1
+            out.append((count, total, kinds, d))
+            count = Counter(g[1:] for g in count)
+        return out
+
+    size = len({c for own in texts.values() for t in own for c in t} | {" "}) + 1
+
+    def entropy(levels, text):
+        body, h = "  " + text + " ", 0.0
+        for i in range(2, len(body)):
+            p = 1 / size
+            for k, (count, total, kinds, d) in zip((1, 2, 3), reversed(levels), strict=True):
+                g = body[i - k + 1 : i + 1]
+                if total[g[:-1]]:
+                    p = max(count[g] - d, 0) / total[g[:-1]] + d * kinds[g[:-1]] / total[g[:-1]] * p
+            h -= math.log(p)
+        return h / (len(body) - 2)
+
+    levels = {k: model(v) for k, v in texts.items()}
+    for t in ("abba cab", "bcb", "a", "ccc abab zz"):
+        want = {k: entropy(v, t) for k, v in levels.items()}
+        lang, _, h, _ = m.classify([t])[0]
+        assert lang == min(want, key=want.get) and h == pytest.approx(min(want.values()), abs=1e-4)
+
+
+def test_samples_to_learn_from_are_bounded(spark):
+    """One id with most of the rows gives one text, a long text gives pieces from its beginning to its end."""
+    long = "head " + "x" * 50_000 + " middle " + "y" * 50_000 + " tail"
+    docs = spark.createDataFrame([(0, f"text {i}") for i in range(500)] + [(3, long), (4, "b"), (4, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (3, 0), (4, 1), (5, 1), (0, 0)], "doc_id int, toxic int")
+    texts, y = toxicity.labelled(docs, labels, "toxic", 4, 2, 1000, 1000)
+    kept = [i for i in (0, 3, 4) if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert len(texts) == len(kept) and y == [{0: 1, 3: 0, 4: 1}[i] for i in kept]
+    if 3 in kept:
+        cut = texts[kept.index(3)]
+        assert cut.startswith("head x") and cut.endswith("tail") and "x" in cut and "y" in cut and len(cut) <= 1010
+
+
+def test_toxicity_features_are_brute_force():
+    rng = np.random.default_rng(12)
+    entries = {" ab ": 3.0, " abc": 2.0, " ca": 2.5, " b ": 1.0, " abc ": 2.0}
+    lexicon = toxicity.Lexicon(entries, ("b ab", "ca d"))
+    for _ in range(300):
+        words = [str(w) for w in rng.choice(["ab", "abc", "abcd", "ca", "cab", "b", "d"], rng.integers(1, 9))]
+        body = f" {' '.join(words)} "
+        gone = [(i, i + len(p) + 1) for p in ("b ab", "ca d") for i in range(len(body)) if body.startswith(f" {p} ", i)]
+        best = {}
+        for i in range(len(body)):
+            at = [(w, len(k), k) for k, w in entries.items() if body.startswith(k, i)]
+            if at and not any(a <= i < b + 0 or a <= i < b for a, b in gone):
+                best[i] = max(at)
+        total, kinds = sum(w for w, _, _ in best.values()), len({k for _, _, k in best.values()})
+        want = [1.0, np.log1p(total), np.sqrt(100 * total / len(words)), np.log1p(kinds)] if best else [1.0, 0.0, 0.0, 0.0]
+        assert lexicon.features(" ".join(words)) == pytest.approx(want), words
+
+
+def test_quality_scores_are_brute_force():
+    """A document's score is the softmax over the mean of its features' learned numbers."""
+    model = quality.train(["good words here now", "bad words there then", "good text", "bad text"] * 5, [1, 0, 1, 0] * 5)
+    for t in ("good words", "bad", "", None, "good bad text here"):
+        f = quality.features(t)
+        z = model.bias + (sum(float(model.weight[b]) for b in f) / len(f) if len(f) else 0.0)
+        assert model.score([t])[0] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-6)
+    good, bad = model.score(["good words here", "bad words there"])
+    assert good > 0.5 > bad
+
+
+def test_columns_of_any_name_and_kind(spark, labels):
+    """Names with dots, spaces, hyphens, quotes and those that operators use; a map; ids that repeat with other texts, or are null."""
+    import corpus_pipeline as cp
+
+    some = [(i // 2 if i % 5 else None, f"plain words number {i} of a text with words {i * 7}", "en", "ab"[i % 2]) for i in range(60)]
+    some += [(7, "x" * 40_000 + f" long {i}", "fr", "c") for i in range(4)]
+    df = spark.createDataFrame(some, "doc_id long, text string, lang string, source string")
+    odd = df.selectExpr("*", "map('k', doc_id) AS `a.map`", "1 AS `with space`", "2 AS `hy-phen`", "3 AS `back``tick`", "4 AS taken", "5 AS _row", "6 AS fp", "7 AS label", "8 AS _turn", "array(named_struct('x y', 1)) AS `n.ested`")
+    for _, stage in cp.STAGES[:-1]:
+        if stage is cp.toxic:
+            continue
+        got = stage(spark, odd, "")
+        assert got.columns == odd.columns and got.count() > 0
+        got.select("`a.map`", "`n.ested`").collect()
+    lexicon = toxicity.fit(odd, labels)
+    assert toxicity.score_toxicity(odd, lexicon, keep=[cp.whole(odd)]).select("_row.*").columns == odd.columns
+    assert packing.pack(spark, odd).count() >= 64 and sharding.shard_documents(spark, odd).count() == 64 and simhash.near_duplicates(spark, odd).count() == 64
+
+
 def test_odd_texts_score(spark, docs, labels, empty):
     n = len(rows())
     models = langid.fit(docs)

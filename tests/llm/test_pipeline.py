@@ -60,6 +60,24 @@ def test_mixed_repeats_documents(spark, docs, sf):
     assert got == +want
 
 
+def test_mixed_is_near_its_targets(spark):
+    some = [(i, f"w{i} " * (20 + i % 30), f"s{i % 4}" if i % 3 else "s0") for i in range(3000)]
+    df = spark.createDataFrame(some, "doc_id long, text string, source string")
+    got = Counter()
+    for r in cp.mixed(spark, df, "").collect():
+        got[r.source] += len(r.text.split())
+    for r in mixing.mix(spark, df, ["source"]).groupBy("source", "target").count().collect():
+        assert abs(got[r.source] - r.target) <= 0.03 * r.target
+
+
+def test_near_dedup_of_one_row_many_times(spark):
+    df = spark.range(0, 4000, 1, 8).selectExpr("if(id < 3000, 1, id) AS doc_id", "if(id < 3000, 'the same row again and again', concat('text ', id, ' x', id * 31)) AS text", "map('k', 'v') AS m")
+    got = cp.near_dedup(spark, df, "")
+    assert got.count() == 1001
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Partial" in plan  # repeated rows are cut down before they are shuffled
+
+
 def test_mixed_keeps_every_source(spark):
     some = [(i, "word " * 400, f"s{i % 3}") for i in range(30)] + [(100, "long " * 40_000, "one"), (101, "few words", "tiny")]
     got = Counter(r.source for r in cp.mixed(spark, spark.createDataFrame(some, "doc_id long, text string, source string"), "").select("source").collect())
