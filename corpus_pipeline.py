@@ -9,12 +9,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillrank.llm import langid, mixing, packing, simhash, toxicity
-from quillrank.llm.common import staged, table
+from quillrank.llm.common import mark, quoted, release, staged, table
 
 
 def whole(docs: DataFrame) -> Column:
     """The row as one struct, so that no column of the input can clash with what an operator adds."""
-    return F.struct(*docs.columns).alias("_row")
+    return F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("_row")
+
+
+def ordered(docs: DataFrame) -> Column:
+    """A number that orders rows of one id and text by what else they hold, of any type."""
+    rest = [F.col(quoted(c)) for c in docs.columns if c not in ("doc_id", "text")]
+    return F.xxhash64(F.to_json(F.struct(*rest)) if rest else F.lit("")).alias("_order")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,9 +40,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     first = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("_first")).select("_first.*")
     key = lambda digest: F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.lit(":"), digest).alias("_id")
     stays = staged(spark, first.select(key(F.col("digest"))), "dedup-stays")
-    keyed = docs.select(whole(docs), key(F.md5(F.coalesce("text", F.lit("")))))
-    one = Window.partitionBy("_id").orderBy(*[F.col(f"_row.`{c}`") for c in docs.columns])
-    return keyed.join(stays, "_id").withColumn("_turn", F.row_number().over(one)).filter("_turn = 1").select("_row.*")
+    keyed = docs.select(whole(docs), ordered(docs), key(F.md5(F.coalesce("text", F.lit("")))))
+    # rows with the same id and text are cut down to one in each task before they are shuffled
+    one = Window.partitionBy("_id").orderBy("_order")
+    return keyed.withColumn("_turn", F.row_number().over(one)).filter("_turn = 1").join(stays, "_id").select("_row.*")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,6 +73,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    since = mark()
     for name, stage in STAGES[:-1]:
         docs = staged(spark, stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        release(spark, since, keep=1)  # a stage's input and what it wrote on its way
     return STAGES[-1][1](spark, docs, sf_dir)
