@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from .common import excerpt, id_crc32, map_batches, rows_of, seeded, table
 
-ORDER, PER_LANG, FIT_CHARS, REJECT_SD, CALIBRATE = 4, 1200, 20_000, 8.0, 5
+ORDER, PER_LANG, FIT_CHARS, REJECT_SD, CALIBRATE = 4, 1200, 10_000, 8.0, 5
 _K, _SPACE = np.uint64(0x9E3779B97F4A7C15), 32
 
 
@@ -60,6 +60,40 @@ def _hashes(codes: np.ndarray, order: int) -> list[np.ndarray]:
     return out
 
 
+def _fold(rows: np.ndarray) -> np.ndarray:
+    """The hash of each column of characters, as _hashes has it; zeros for no characters."""
+    h = np.zeros(rows.shape[1], np.uint64)
+    for i, r in enumerate(rows):
+        h = h * _K + r + np.uint64(1) if i else r + np.uint64(1)
+    return h
+
+
+def _grams(texts: list[str], order: int, chars: int = 400_000) -> tuple[np.ndarray, np.ndarray]:
+    """The different n-grams of some texts, a column of characters each, and how often each occurs; counted about `chars` characters at a time."""
+    keys, counts, rows = [], [], []
+    held, size = [], 0
+
+    def count() -> None:
+        codes = np.concatenate(held) if held else np.full(order, _SPACE, np.uint64)
+        key, at, n = np.unique(_hashes(codes, order)[order], return_index=True, return_counts=True)
+        keys.append(key)
+        counts.append(n)
+        rows.append(np.stack([codes[at + i] for i in range(order)]))
+
+    for t in texts:
+        if (codes := letters(t, order)) is None:
+            continue
+        held.append(codes)
+        size += len(codes)
+        if size > chars:
+            count()
+            held, size = [], 0
+    if held or not keys:
+        count()
+    _, first, back = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    return np.concatenate(rows, axis=1)[:, first], np.bincount(back, np.concatenate(counts)).astype(np.int64)
+
+
 class Models:
     """Models of several languages in shared sorted hash arrays."""
 
@@ -67,18 +101,17 @@ class Models:
         self.order = order
         self.langs = sorted(texts)
         n = len(self.langs)
+        self.reject_at = np.full(n, np.inf)
+        if n and reject_sd is not None:
+            self._calibrate(texts, reject_sd)  # its models are gone before these are built
         grams: list[list] = [[] for _ in range(order + 1)]
         contexts: list[list] = [[] for _ in range(order + 1)]
         alphabet: set[int] = set()
         for lang in self.langs:
-            docs = [x for x in (letters(t, order) for t in texts[lang]) if x is not None]
-            codes = np.concatenate(docs) if docs else np.full(order, _SPACE, np.uint64)
-            alphabet |= set(np.unique(codes).tolist())
-            h = _hashes(codes, order)
-            _, at, count = np.unique(h[order], return_index=True, return_counts=True)
+            rows, count = _grams(texts[lang], order)
+            alphabet |= set(np.unique(rows).tolist())
             for k in range(order, 0, -1):
-                key = h[k][at]
-                context = h[k - 1][at] if k > 1 else np.zeros(len(at), np.uint64)
+                key, context = _fold(rows), _fold(rows[:-1])
                 ones, twos = int((count == 1).sum()), int((count == 2).sum())
                 d = min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones + twos else 0.5
                 own, back = np.unique(context, return_inverse=True)
@@ -86,8 +119,8 @@ class Models:
                 grams[k].append((key, (count - d).clip(0) / total[back]))
                 contexts[k].append((own, d * np.bincount(back) / total))
                 if k > 1:  # continuation counts of the suffixes
-                    _, first, count = np.unique(h[k - 1][at + 1], return_index=True, return_counts=True)
-                    at = at[first] + 1
+                    _, first, count = np.unique(_fold(rows[1:]), return_index=True, return_counts=True)
+                    rows = rows[1:, first]
         self.uniform = 1.0 / (len(alphabet) + 1)
         self.grams, self.contexts = [None], [None]
         for k in range(1, order + 1):
@@ -97,9 +130,6 @@ class Models:
                 for j, (key, v) in enumerate(parts):
                     values[np.searchsorted(keys, key), j] = v
                 to.append((keys, values))
-        self.reject_at = np.full(n, np.inf)
-        if n and reject_sd is not None:
-            self._calibrate(texts, reject_sd)
 
     def _calibrate(self, texts: dict[str, list[str]], reject_sd: float) -> None:
         """Thresholds of rejection from every CALIBRATE-th text, by models of the others."""
@@ -123,7 +153,7 @@ class Models:
                 p = p * values[j] if what == "c" else p + values[j]
         return np.log(np.maximum(p, 1e-12))
 
-    def classify(self, texts: list[str | None], chars: int = 400_000) -> list[tuple[str, float, float, bool]]:
+    def classify(self, texts: list[str | None], chars: int = 200_000) -> list[tuple[str, float, float, bool]]:
         """(language, score, cross-entropy, rejected) of each text."""
         out: list[tuple[str, float, float, bool]] = [("und", 0.0, 0.0, True)] * len(texts)
         if not self.langs:
