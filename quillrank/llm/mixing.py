@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, staged, table
+from .common import WORD, quoted, staged, table
 
 BLOCK, SHARD_ROWS, MAX_REPEATS, SEED, WEIGHTS, COPIES = 32, 256, 3, "mix", 3, 4096
 
@@ -132,14 +132,15 @@ def mix(spark: SparkSession, docs: DataFrame, keep: list[str], *, doc_id: str =
         last = F.least(F.col("_m"), (F.col("_piece") + 1) * COPIES) - 1
         each = pieces.withColumn("_j", F.explode(F.sequence(F.col("_piece") * COPIES, last)))
     else:
-        spans = staged(spark, spans, "mix-spans")
-        mine = rows.select(*[F.col(c) for c in keep], F.col("_source").alias("_s"), F.col("_size").alias("_z"), F.col("_h").alias("_g"))
-        each = mine.join(spans, (F.col("_g") == F.col("_h")) & F.col("_s").eqNullSafe(F.col("_source")) & (F.col("_z") == F.col("_size")))
-        each = each.withColumn("_j", F.row_number().over(Window.partitionBy("_g", "_s", "_z").orderBy(F.lit(0))) - 1)
+        # one name for both sides, so that the rows are dealt once for the join and for telling equal ones apart
+        name = lambda h, source, size: F.concat_ws(":", h, size, F.coalesce(F.concat(F.lit("s"), source), F.lit("n"))).alias("_k")
+        spans = staged(spark, spans.select(name("_h", "_source", "_size"), "_m", F.col("_size").alias("_z"), *spans.columns[len(same) + 1 :]), "mix-spans")
+        each = rows.select(*[F.col(quoted(c)) for c in keep], name("_h", "_source", "_size")).join(spans, "_k").withColumnRenamed("_z", "_size")
+        each = each.withColumn("_j", F.when(F.col("_m") > 1, F.row_number().over(Window.partitionBy("_k").orderBy("_m")) - 1).otherwise(0))
     at, end = F.col("_at"), F.col("_at") + F.col("_size")
     far = F.col("_start") + F.col("_long")  # where the shard's blocks end, beyond its last word if they go round
     part = F.greatest(F.lit(0), F.least(end, far) - F.greatest(at, F.col("_start"))) + F.greatest(F.lit(0), F.least(end, far - F.col("words")) - at)
-    return each.withColumn("_at", F.col("_before") + F.col("_j") * F.col("_size")).select(*[F.col(c) for c in keep], F.col("_size").alias("size"), "source_size", "target", (F.col("_passes") * F.col("_size") + part).cast("long").alias("taken"))
+    return each.withColumn("_at", F.col("_before") + F.col("_j") * F.col("_size")).select(*[F.col(quoted(c)) for c in keep], F.col("_size").alias("size"), "source_size", "target", (F.col("_passes") * F.col("_size") + part).cast("long").alias("taken"))
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
