@@ -13,7 +13,7 @@ ATOMS = "array<struct<atom:int,weight:double>>"
 
 
 class Encoder(Protocol):
-    """What a model offers; the signature is recorded in an index, and another one is refused."""
+    """What a model offers; the signature names it, and nothing here stores or compares it yet."""
 
     signature: str
     dims: int
