@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as tx
-from .operators import evaluate, fields, filters, fusion, semantic
+from .operators import evaluate, fields, filters, fusion, semantic, summary
 from .operators.index import Index
 from .operators.scoring import Bm25, batch_rank, rank, score_rows, top_k
 from .operators.store import Store
@@ -690,6 +690,15 @@ def heavy_hitters(spark, sf):
     return table(spark, sf, "events").groupBy("user_id").agg(F.round(F.sum("value"), 4).alias("weight")).orderBy(F.col("weight").desc(), "user_id").limit(K)
 
 
+@query(
+    "heavy_terms",
+    f"WITH {DOCS}, n AS (SELECT term, count(*)::DOUBLE AS weight FROM (SELECT unnest(tokens) AS term FROM d) GROUP BY term) SELECT term, weight FROM n WHERE weight > (SELECT sum(weight) FROM n) * 0.005::DOUBLE",
+)
+def heavy_terms(spark, sf):
+    terms = documents(spark, sf).select(F.explode("tokens").alias("term"), F.lit(1.0).alias("weight"))
+    return summary.heavy_hitters(terms, "term", "weight", 0.005)
+
+
 @query(
     "eval_metrics",
     f"""WITH run AS ({ORACLES["bm25_batch"]}), j AS (SELECT q.item_id AS query_id, doc_id, quality + toxic AS grade FROM labels, benchmark q WHERE quality + toxic > 0 AND doc_id % 10 = q.item_id % 10),
