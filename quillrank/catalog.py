@@ -568,8 +568,15 @@ def fusion_weighted(spark, sf):
 
 @query("fusion_fields", _fused_sql((A, 1.0, 20), (C, 3.0, 20)))
 def fusion_fields(spark, sf):
-    named = {"title": (A, None), "body": (C, 3.0)}
-    return fusion.fuse_hits([(hits(spark, sf, t), w) for t, w in named.values()], K)
+    index = built(spark, sf)
+    named = [fusion.FieldQuery(index, " ".join(A), None, "title"), fusion.FieldQuery(index, " ".join(C), 3.0, "body")]
+    return fusion.fuse_queries(named, K).select("doc_id", "score")
+
+
+@query("fusion_text", _fused_sql(({"the": 1.0, "of": 1.0}, 2.5, 50)))
+def fusion_text(spark, sf):
+    index = built(spark, sf)
+    return fusion.fuse_text({"near": (index, 2.0), "far": (index, 0.5)}, "the of", K, 50).select("doc_id", "score")
 
 
 _BM = f"SELECT 'bm25' AS source_name, doc_id AS key, score AS raw_value, row_number() OVER (ORDER BY score DESC, doc_id::VARCHAR)::INTEGER AS source_rank FROM {_hits_sql(B, 100)}"

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .index import Index
+
 NORMALIZERS = ("identity", "negative_distance", "inverse", "inverse_distance", "minmax", "zscore", "rank")
 
 
@@ -17,6 +21,42 @@ def fuse_hits(sources: list[tuple[DataFrame, float | None]], k: int, key: str =
     return total.orderBy(F.col("score").desc(), F.col(key).cast("string")).limit(k)
 
 
+@dataclass(frozen=True)
+class FieldQuery:
+    """A query to one index in a fusion: a null weight is 1, a field without a name is called by its place, from field_1 on."""
+
+    index: Index
+    text: str
+    weight: float | None = 1.0
+    field: str | None = None
+
+
+def fuse_queries(queries: list[FieldQuery], k: int, candidate_k: int | None = None, mask: Column | None = None, digits: int = 6) -> DataFrame:
+    """(key, score, fields) of the k best: each query's candidate_k best (null: k), weighted and summed by the key that the indexes share.
+
+    mask: a factor of each row's gain in every query. fields: names of the queries that had the row among their candidates, in order."""
+    if not queries or k < 1 or (candidate_k is not None and candidate_k < 1):
+        raise ValueError("a fusion takes queries and positive limits")
+    if len(keys := {q.index.manifest["key"] for q in queries}) > 1:
+        raise ValueError("fused indexes share one key")
+    names = [(q.field or "").strip() or f"field_{i}" for i, q in enumerate(queries, 1)]
+    if len(set(names)) < len(names):
+        raise ValueError("two fields have one name")
+    weights = [1.0 if q.weight is None else float(q.weight) for q in queries]
+    if not all(map(math.isfinite, weights)):
+        raise ValueError("weights are finite")
+    key = keys.pop()
+    found = [q.index.query(q.text, candidate_k or k, mask=mask, digits=digits).select(key, (F.col("score") * w).alias("score"), F.lit(i).alias("_at")) for i, (q, w) in enumerate(zip(queries, weights, strict=True))]
+    total = reduce(DataFrame.unionByName, found).groupBy(key).agg(F.round(F.sum("score"), digits).alias("score"), F.sort_array(F.collect_list("_at")).alias("_at"))
+    named = F.transform("_at", lambda i: F.array(*map(F.lit, names))[i])
+    return total.select(key, "score", named.alias("fields")).orderBy(F.col("score").desc(), F.col(key).cast("string")).limit(k)
+
+
+def fuse_text(fields: dict[str, tuple[Index, float | None]], text: str, k: int, candidate_k: int | None = None, mask: Column | None = None, digits: int = 6) -> DataFrame:
+    """One text asked of several indexes, which are given by field name with their weights."""
+    return fuse_queries([FieldQuery(index, text, w, name) for name, (index, w) in fields.items()], k, candidate_k, mask, digits)
+
+
 def candidates(df: DataFrame, source: str, key: Column, raw: Column, *, rank: Column | None = None, weight: float = 1.0, normalizer: str = "identity", direction: str = "higher") -> DataFrame:
     """Rows of the candidate schema; a blank source is called 'source'."""
     normalizer, direction = normalizer.lower(), direction.lower()
