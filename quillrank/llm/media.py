@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from .common import map_batches, mark, release, rows_of, staged, table
 from .htmltree import BLOCK, scan
 
-WIDTH, SCHEME, LEVEL, SALT = 64, "digest:", 1, 16
+WIDTH, SCHEME, LEVEL, SALT, HOT = 64, "digest:", 1, 16, 10_000
 ITEM = "array<struct<position:int,kind:string,text:string,digest:string,caption:string>>"
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
@@ -149,10 +149,16 @@ def interleave(pages: DataFrame, key: str, page: str) -> DataFrame:
     return out.select(F.col("key").alias(key), F.inline("items"))
 
 
-def resolve(items: DataFrame, media: DataFrame, by: str, salt: int = SALT) -> DataFrame:
-    """Items with the media table's columns by digest; media has one row per digest. A digest that many items name is spread by a hash of the column `by`."""
-    spread = media.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salt - 1).cast("long"))))
-    return items.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salt))).join(spread, ["digest", "_salt"], "left").drop("_salt")
+def resolve(items: DataFrame, media: DataFrame, by: str, salt: int = SALT, hot: int = HOT) -> DataFrame:
+    """Items with the media table's columns by digest; media has one row per digest.
+
+    A digest that more than `hot` items name is spread by a hash of the column `by`, its media row copied `salt` times; the media row of
+    any other is one. The items are read twice; the digests that are spread, at most one for `hot` items, are broadcast."""
+    turn = F.pmod(F.xxhash64(by), F.lit(salt))
+    many = F.broadcast(items.groupBy("digest").agg(F.count(F.lit(1)).alias("_n")).filter((F.col("_n") > hot) & F.col("digest").isNotNull()).select("digest", F.lit(True).alias("_many")))
+    spread = media.join(many, "digest", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("_many"), F.lit(salt - 1)).otherwise(F.lit(0)).cast("long")))).drop("_many")
+    placed = items.join(many, "digest", "left").withColumn("_salt", F.when(F.col("_many") | F.col("digest").isNull(), turn).otherwise(F.lit(0).cast("long"))).drop("_many")
+    return placed.join(spread, ["digest", "_salt"], "left").drop("_salt")
 
 
 def store(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -209,5 +215,6 @@ def op6_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
         return run
 
     pages = map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, "doc_id long, page string")
-    items = interleave(pages, "doc_id", "page").filter("kind = 'media' AND caption IS NOT NULL AND position = 1")
+    items = interleave(pages, "doc_id", "page").filter("kind = 'media' AND caption IS NOT NULL AND position = 1").select("doc_id", "digest", "caption")
+    items = staged(spark, items, "media-items")
     return resolve(items, described, "doc_id").select("doc_id", F.col("caption").cast("long").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")

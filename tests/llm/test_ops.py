@@ -461,6 +461,33 @@ def test_many_references_to_one_payload(spark):
     assert got == {1: 1333, 2: 1, None: 666}
 
 
+def _shuffled_rows(plan) -> int:
+    """Rows written by the exchanges of a plan that has run."""
+    name = plan.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        return _shuffled_rows(plan.executedPlan())
+    if name.endswith("QueryStageExec"):
+        return _shuffled_rows(plan.plan())
+    own = plan.metrics().apply("shuffleRecordsWritten").value() if name == "ShuffleExchangeExec" else 0
+    return own + sum(_shuffled_rows(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+def test_only_hot_payloads_are_copied(spark):
+    """Rows of media are shuffled once each, not once a salt; digests that many items name are spread, unknown and null ones keep their items."""
+    items = spark.range(1000).selectExpr("id", "CASE WHEN id < 300 THEN 'hot' WHEN id < 310 THEN NULL WHEN id < 320 THEN 'unknown' ELSE concat('d', id) END AS digest")
+    known = spark.range(320, 1000).selectExpr("concat('d', id) AS digest", "id AS n").union(spark.createDataFrame([("hot", -1)], "digest string, n long"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plain = media.resolve(items, known, "id")
+        assert {r.id: r.n for r in plain.collect()} == {i: -1 if i < 300 else None if i < 320 else i for i in range(1000)}
+        # items, media and the count of items by digest
+        assert _shuffled_rows(plain._jdf.queryExecution().executedPlan()) < 1000 + 681 + 1000
+        spread = media.resolve(items, known, "id", hot=100)
+        assert sorted(tuple(r) for r in spread.selectExpr("id", "coalesce(n, -2)").collect()) == sorted((i, -1 if i < 300 else -2 if i < 320 else i) for i in range(1000))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_media_empty(spark, empty, tmp_path):
     empty.write.parquet(str(tmp_path / "documents.parquet"))
     assert media.op6_media_sequences(spark, str(tmp_path)).count() == 0
