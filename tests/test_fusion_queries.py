@@ -1,9 +1,11 @@
 """Fusion over indexes by field."""
 
+from itertools import permutations
+
 import pytest
 from pyspark.sql import functions as F
 
-from quillrank.operators.fusion import FieldQuery, fuse_queries, fuse_text
+from quillrank.operators.fusion import FieldQuery, fuse_hits, fuse_queries, fuse_text
 from quillrank.operators.index import Index
 
 ROWS = [(1, "blue bird", "river valley"), (2, "red fox", "blue forest"), (3, "blue fox", "blue river"), (4, None, "")]
@@ -49,3 +51,17 @@ def test_refuses(indexes):
     for queries, k, candidates in (([], 3, None), ([one], 0, None), ([one], 3, 0), ([one, one], 3, None), ([FieldQuery(indexes["title"], "fox", float("nan"))], 3, None)):
         with pytest.raises(ValueError):
             fuse_queries(queries, k, candidates)
+
+
+def test_sum_does_not_depend_on_order(spark):
+    """2 * 1.175241 + 0.5 * 0.539855 + 0.321609 is 2.9420185, half way between two scores; in doubles its last digit hangs on the order of addition."""
+    hits = [(spark.createDataFrame([(99, s)], "doc_id long, score double").coalesce(1), w) for s, w in ((1.175241, 2.0), (0.539855, 0.5), (0.321609, None))]
+    assert {fuse_hits(list(p), 5).first().score for p in permutations(hits)} == {2.942019}
+
+
+def test_sum_of_odd_scores(spark):
+    inf, nan = float("inf"), float("nan")
+    hits = [spark.createDataFrame([(i, s) for i, s in enumerate(x)], "doc_id long, score double") for x in ((1e16, inf, inf, nan, None, None, 1e308), (1.0, 1.0, -inf, 1.0, 2.0, None, 1e308), (-1e16, 2.0, 0.0, 1.0, None, None, 1.0))]
+    got = {r.doc_id: r.score for r in fuse_hits([(h, 1.0) for h in hits], 9).collect()}
+    assert {i: "nan" if s != s else s for i, s in got.items() if s is not None} == {0: 1.0, 1: inf, 2: "nan", 3: "nan", 4: 2.0, 6: inf}
+    assert got[5] is None
