@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from typing import Protocol
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+#: Rows and characters that an encoder gets at once.
+ROWS, CHARS = 256, 1_000_000
 ATOMS = "array<struct<atom:int,weight:double>>"
 
 
@@ -37,19 +43,39 @@ class HashEncoder:
 
 
 def encode(docs: DataFrame, key: str, text: str, encoder: Encoder) -> DataFrame:
-    """(key, atoms), texts encoded in batches; atoms of weight zero are left out, negative weights and repeated or unknown atoms are errors."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for atoms in encoder.encode(pdf["t"].fillna("").tolist()):
-                if any(w < 0 or not 0 <= a < encoder.dims for a, w in atoms.items()):
+    """(key, atoms), texts encoded ROWS at a time or fewer with CHARS in all; atoms of weight zero are left out, negative weights and repeated or
+    unknown atoms are errors. What is encoded leaves as flat arrays, so that a worker never holds more of it than one such piece."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    kind = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("atoms", T._parse_datatype_string(ATOMS))])
+    arrow = to_arrow_schema(kind)
+    of_atom = arrow.field(1).type.value_type
+
+    def lists(texts: list[str]) -> pa.Array:
+        ids, weights, ends = array("i"), array("d"), [0]
+        for atoms in encoder.encode(texts):
+            for a, w in sorted(atoms.items()):
+                if w < 0 or not 0 <= a < encoder.dims:
                     raise ValueError("an atom is out of range or has a negative weight")
-                out.append([{"atom": a, "weight": w} for a, w in sorted(atoms.items()) if w])
-            yield pd.DataFrame({key: pdf["k"], "atoms": out})
-
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"{key} {kind}, atoms {ATOMS}")
+                if w:
+                    ids.append(a)
+                    weights.append(w)
+            ends.append(len(ids))
+        pairs = pa.StructArray.from_arrays([pa.array(np.frombuffer(ids, np.int32)), pa.array(np.frombuffer(weights))], fields=list(of_atom))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs).cast(arrow.field(1).type)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = np.cumsum(pc.fill_null(pc.utf8_length(batch.column("t")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            at, before = 0, 0
+            while at < batch.num_rows:
+                to = min(at + ROWS, max(at + 1, int(np.searchsorted(size, before + CHARS, "right"))))
+                piece = batch.slice(at, to - at)
+                atoms = lists(pc.fill_null(piece.column("t"), "").to_pylist())
+                yield pa.RecordBatch.from_arrays([piece.column("k").cast(arrow.field(0).type), atoms], schema=arrow)
+                at, before = to, int(size[to - 1])
+
+    return docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(run, kind)
 
 
 def quantize_u8(x: Column) -> Column:

@@ -68,3 +68,17 @@ def test_odd_rows_of_an_index(spark, tmp_path):
 def asked(spark):
     qs = [(q, t) for q in range(30) for t in (f"w{q}", f"w{q * 7 % 400}", "w1", "w1", "none")] + [(99, "none"), (98, "w2")]
     return spark.createDataFrame(qs, "query_id int, term string")
+
+
+def test_an_encoder_gets_bounded_pieces(spark):
+    class Strict(semantic.HashEncoder):
+        def encode(self, texts):
+            assert len(texts) <= 256 and (len(texts) == 1 or sum(map(len, texts)) <= 1_000_000)
+            return semantic.HashEncoder.encode(self, texts)
+
+    long = "word " * 300_000
+    docs = spark.createDataFrame([(i, f"text {i} of a few") for i in range(1500)] + [(1500, long), (1501, None), (1502, long), (1503, "")], "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: [(a.atom, a.weight) for a in r.atoms] for r in semantic.encode(docs, "doc_id", "text", Strict()).collect()}
+    assert len(got) == 1504 and got[1501] == got[1503] == [] and len(got[1500]) == 1
+    one = semantic.HashEncoder().encode(["text 7 of a few"])[0]
+    assert got[7] == sorted(one.items())
