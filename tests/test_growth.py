@@ -82,3 +82,16 @@ def test_an_encoder_gets_bounded_pieces(spark):
     assert len(got) == 1504 and got[1501] == got[1503] == [] and len(got[1500]) == 1
     one = semantic.HashEncoder().encode(["text 7 of a few"])[0]
     assert got[7] == sorted(one.items())
+
+
+def test_few_changes_do_not_shuffle_what_they_change(spark):
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        base = spark.range(100).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+        log = spark.createDataFrame([(1, 3, "delete", None), (2, 5, "upsert", "new")], "seq long, doc_id long, op string, text string")
+        now = mutation.live(base, log, "doc_id")
+        assert "BroadcastHashJoin" in plan(now) and "SortMergeJoin" not in plan(now)
+        assert now.count() == 99
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
