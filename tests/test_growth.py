@@ -70,6 +70,29 @@ def asked(spark):
     return spark.createDataFrame(qs, "query_id int, term string")
 
 
+@pytest.mark.parametrize("method", ["lucene", "robertson", "atire", "bm25l", "bm25+"])
+def test_batches_do_not_join_rows_and_queries(spark, tmp_path, monkeypatch, method):
+    """Both ways give the same; pairs of a row and a query leave no task."""
+    docs, p = texts(spark), Bm25(method)
+    monkeypatch.setattr(batch, "CELLS", 3000)  # several blocks of rows and of queries
+    made = Index.build(spark, f"file://{tmp_path}/d", docs, "doc_id", "tokens", params=p)
+    new, stored = batch_rank(docs, "doc_id", F.col("tokens"), asked(spark), p, 7), made.query_batch(asked(spark), 7)
+    assert "Join" not in plan(new)
+    assert "query_id" not in "".join(x for x in plan(stored).splitlines() if "Join" in x)
+    rows = lambda df: sorted((r.query_id, r["rank"], r.doc_id, r.score) for r in df.collect())
+    a, b = rows(new), rows(stored)
+    monkeypatch.setattr(batch, "PAIRS", 0)
+    c = rows(batch_rank(docs, "doc_id", F.col("tokens"), asked(spark), p, 7))
+    d = rows(made.query_batch(asked(spark), 7))
+    assert len(a) == 31 * 7 and a == b == d == c
+
+
+def test_rows_that_share_a_key_are_summed(spark):
+    docs = spark.createDataFrame([(1, ["a", "b"]), (1, ["a", "a", "b"]), (2, ["a"])], "doc_id long, tokens array<string>")
+    got = batch_rank(docs, "doc_id", F.col("tokens"), spark.createDataFrame([(1, "a")], "query_id int, term string"), Bm25("atire", "bm25+"), 5).collect()
+    assert [r.doc_id for r in got] == [1, 2]
+
+
 def test_an_encoder_gets_bounded_pieces(spark):
     class Strict(semantic.HashEncoder):
         def encode(self, texts):
